@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import encoded
+from tessera.llm.decontaminate import judged, overlaps
 from tessera.llm.substring_dedup import repeated_words
 
 
@@ -19,8 +21,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("__id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = judged(overlaps(docs, _table(spark, sf_dir, "benchmark")))
+    return found.select(F.col("__id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_bpe": op7_bpe,
+    "op8_decontamination": op8_decontamination,
 }
 
 _OP1 = r"""
@@ -35,4 +49,18 @@ SELECT doc_id, len(ws) AS n_words, coalesce(len(qs), 0) AS n_removed,
 FROM w LEFT JOIN cut USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1}
+_OP8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT item_id, ws[p:p + 12] AS w FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS p FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT len(w) AS n FROM win),
+spans AS (SELECT doc_id, p, n, ws[p:p + n - 1] AS w FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, sizes WHERE len(ws) >= n)),
+occ AS (SELECT doc_id, p, n, item_id FROM spans JOIN win USING (w)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op8_decontamination": _OP8}
