@@ -268,7 +268,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))
     out = T.StructType().add("id", "long").add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        out = out.add("ids", "array<int>").add("decoded", "string")
+        out = out.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)

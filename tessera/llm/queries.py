@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encoded
 from tessera.llm.decontaminate import judged, overlaps
+from tessera.llm.minhash import near_duplicates
 from tessera.llm.substring_dedup import repeated_words
 
 
@@ -21,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("__id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -33,6 +38,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
 }
@@ -41,14 +47,26 @@ _OP1 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 starts AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13),
 wins AS (SELECT doc_id, p, sha256(array_to_string(ws[p:p + 12], ' ')) AS h FROM starts),
-least AS (SELECT h, min(doc_id) AS d FROM wins GROUP BY h),
-gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM wins JOIN least USING (h) WHERE d < doc_id),
+low AS (SELECT h, min(doc_id) AS d FROM wins GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM wins JOIN low USING (h) WHERE d < doc_id),
 cut AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(len(qs), 0) AS n_removed,
        sha256(array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: qs IS NULL OR NOT list_contains(qs, i)), lambda i: ws[i]), ' ')) AS kept_sha256
 FROM w LEFT JOIN cut USING (doc_id)
 """
 
+_OP6 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id <= coalesce(y, doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON x = doc_id
+"""
+
 _OP8 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -63,4 +81,4 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op8_decontamination": _OP8}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_minhash": _OP6, "op8_decontamination": _OP8}
