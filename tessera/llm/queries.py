@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import quality, toxicity
 from tessera.llm.bpe import encoded
 from tessera.llm.decontaminate import judged, overlaps
 from tessera.llm.minhash import near_duplicates
@@ -36,11 +37,23 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("__id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.scored(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return found.select(F.col("__id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return found.select(F.col("__id").alias("doc_id"), "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 _OP1 = r"""
