@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, toxicity
+from tessera.llm import knn, quality, toxicity, warc
 from tessera.llm.bpe import encoded
 from tessera.llm.decontaminate import judged, overlaps
+from tessera.llm.html_wrapper import main_text
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.substring_dedup import repeated_words
 
@@ -23,6 +24,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("__id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(_table(spark, sf_dir, "pages"))
+    return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85).withColumnRenamed("id", "doc_id")
 
@@ -49,6 +63,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_warc": op3_warc,
+    "op4_html_wrapper": op4_html_wrapper,
+    "op5_voronoi_knn": op5_voronoi_knn,
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
@@ -68,6 +85,25 @@ SELECT doc_id, len(ws) AS n_words, coalesce(len(qs), 0) AS n_removed,
 FROM w LEFT JOIN cut USING (doc_id)
 """
 
+_OP3 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS m FROM p GROUP BY h),
+j AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, m FROM p JOIN f USING (h)),
+q AS (SELECT *, list_transform(range(0, 8), lambda g: ('0x' || substr(x, 5 * g + 1, 5))::BIGINT) AS v FROM j)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(v, lambda n: array_to_string(list_transform([n // 32768, n // 1024 % 32, n // 32 % 32, n % 32], lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', d + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM q
+"""
+
+_OP5 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e::DOUBLE[], x.e::DOUBLE[])::BIGINT AS score FROM v q, v x WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 _OP6 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS p FROM d WHERE len(ws) > 0)),
@@ -94,4 +130,4 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_minhash": _OP6, "op8_decontamination": _OP8}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_warc": _OP3, "op5_voronoi_knn": _OP5, "op6_minhash": _OP6, "op8_decontamination": _OP8}

@@ -33,7 +33,7 @@ from tessera.llm.common import shared_dir
 #: Fixed values of the seekable format: skippable frame numbers, footer mark.
 INDEX_FRAME, TABLE_FRAME, FOOTER_MARK = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Records are added to a frame, and frames to a bundle, until these many bytes (before and after compression).
-FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 24 << 20
+FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 16 << 20
 LEVEL = 3
 
 
@@ -211,7 +211,9 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write bundles of what ``planned`` gives to a folder that all executors reach; (``name``, ``records``, ``bytes``) of each."""
     fs, path = _store(folder)
     fs.create_dir(path, recursive=True)
-    return records.select("pid", "url", "html", "kind", "refers_to", "size", "sha").mapInArrow(_writer(folder), "name string, records long, bytes long")
+    # in one order, so that a task that runs again writes the same bundles under the same names
+    ordered = records.select("pid", "url", "html", "kind", "refers_to", "size", "sha").sortWithinPartitions("pid", "sha", "url")
+    return ordered.mapInArrow(_writer(folder), "name string, records long, bytes long")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
