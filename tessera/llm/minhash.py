@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = F.ceil(F.col("members") / PART_MEMBERS).cast("int")
     placed = coarse.join(sizes, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), parts.alias("g"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
     task = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(4 * n)).cast("int")
-    dealt = rows.join(placed, "id").select("id", "text", "cluster", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))).alias("ij")).select("id", "text", "cluster", "part", "ij.i", "ij.j").withColumn("task", task)
+    # the clusters' members grow with the documents, so they are never broadcast to the texts
+    dealt = rows.join(placed.hint("merge"), "id").select("id", "text", "cluster", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))).alias("ij")).select("id", "text", "cluster", "part", "ij.i", "ij.j").withColumn("task", task)
     links = dealt.groupBy("task").applyInArrow(_confirm(width, percent), "a long, b long")
     found = connected(links).withColumnRenamed("node", "class_id")
 
