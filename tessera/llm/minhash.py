@@ -3,9 +3,10 @@
 A document's set is its distinct shingles of ``width`` lower-cased words. Under each of
 PERMUTATIONS hashes both the smallest and the largest value are kept: each of the two
 agrees between two documents with a probability that is their Jaccard similarity, so a
-signature of 2k values costs k hash evaluations a shingle. ROWS values in a row make a
-band; two documents that share a band are candidates. At a similarity of 0.85 a pair
-shares none of the 32 bands with a probability of 7e-9.
+signature of 2k values costs k hash evaluations a shingle. Some values in a row make a
+band; two documents that share a band are candidates. Bands are as long as a pair at the
+threshold allows if it is to share none with a probability of 1e-8 at most: five values
+at a similarity of 0.85 (7e-9), four at 0.8 (7e-10).
 
 Documents with equal sets are one class from the start, and only the class's smallest
 document goes on, so thousands of copies cost no more than one. Candidates are joined to
@@ -31,8 +32,9 @@ from tessera.llm.common import materialize, scaled_parts
 from tessera.llm.components import connected
 from tessera.llm.words import SPACE, U, chunks, find_words, mix, window_hash
 
-PERMUTATIONS, ROWS = 80, 5
-BANDS = 2 * PERMUTATIONS // ROWS
+PERMUTATIONS = 80
+#: Most likely loss of a pair at the threshold.
+MOST_LOSS = 1e-8
 #: Members of a cluster that one task compares with each other or with as many others.
 PART_MEMBERS = 3000
 _ODD = mix(np.arange(1, 2 * PERMUTATIONS + 1).astype(U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -80,16 +82,23 @@ def signatures(s: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Values in a band."""
+    fit = [r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (2 * PERMUTATIONS // r) <= MOST_LOSS]
+    return max(fit, default=1)
+
+
+def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit hash of each band, different for different bands."""
-    x = signature.reshape(len(signature), BANDS, ROWS).astype(U)
-    h = np.broadcast_to(np.arange(1, BANDS + 1).astype(U), x.shape[:2]).copy()
-    for r in range(ROWS):
+    n = 2 * PERMUTATIONS // rows
+    x = signature[:, : n * rows].reshape(len(signature), n, rows).astype(U)
+    h = np.broadcast_to(np.arange(1, n + 1).astype(U), x.shape[:2]).copy()
+    for r in range(rows):
         h = mix(h * U(0xD1342543DE82EF95) + x[:, :, r])
     return h
 
 
-def _profile(width: int):
+def _profile(width: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -100,8 +109,8 @@ def _profile(width: int):
                 for seed in (U(0x6A09E667F3BCC908), U(0xBB67AE8584CAA73B)):
                     total = np.concatenate((np.zeros(1, U), np.cumsum(mix(s ^ seed))))
                     digest.append((total[cut[1:]] - total[cut[:-1]]).view(np.int64))
-                h = bands(signatures(s, cut)).view(np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * BANDS, pa.int32()), pa.array(h.ravel(), pa.int64()))
+                h = bands(signatures(s, cut), rows).view(np.int64)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * h.shape[1], pa.int32()), pa.array(h.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), *map(pa.array, digest), listed], ["id", "n", "s1", "s2", "bands"])
 
     return run
@@ -175,7 +184,7 @@ def _confirm(width: int, percent: int):
             for a, b in chunks(own, 1 << 20):
                 s, cut = shingle_sets(own[a:b], width)
                 sets += np.split(s, cut[1:-1])
-                sigs.append(bands(signatures(s, cut)))
+                sigs.append(bands(signatures(s, cut), band_rows(percent)))
             order = sorted((k for k in range(len(rows)) if len(sets[k])), key=lambda k: (len(sets[k]), ids[rows[k]]))
             if len(order) < 2:
                 continue
@@ -200,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = scaled_parts(docs)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = T.StructType().add("id", "long").add("n", "long").add("s1", "long").add("s2", "long").add("bands", T.ArrayType(T.LongType()))
-    profile = materialize(rows.mapInArrow(_profile(width), kind))
+    profile = materialize(rows.mapInArrow(_profile(width, band_rows(percent)), kind))
     some = profile.where("n > 0 AND id IS NOT NULL")
 
     # one class for equal sets; its smallest document stands for it

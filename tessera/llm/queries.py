@@ -13,6 +13,7 @@ from tessera.llm.decontaminate import judged, overlaps
 from tessera.llm.html_wrapper import main_text
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.substring_dedup import repeated_words
+from tessera.llm.token_shards import slots, write_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("__id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots(spark, write_shards(_table(spark, sf_dir, "documents")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archived(_table(spark, sf_dir, "pages"))
     return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_shards": op2_token_shards,
     "op3_warc": op3_warc,
     "op4_html_wrapper": op4_html_wrapper,
     "op5_voronoi_knn": op5_voronoi_knn,
