@@ -32,10 +32,8 @@ _ODD = re.compile("[\x1c-\x1f]")
 _LETTERS = r"\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 _LATIN = re.compile(f"[\x00-\x7f{_LETTERS}]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
-#: Words kept between batches in a worker; the memo is emptied when it is full.
-MEMO_WORDS = 250_000
-#: Pairs of tokens kept in a worker, likewise.
-MEMO_PAIRS = 300_000
+#: Words, pieces of words and pairs of tokens that a worker's memos keep, each in two generations of this size.
+MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 60_000, 60_000, 150_000
 #: Number of tokens, decimal ids and names, each joined by one space.
 Found = tuple[int, str, str]
 
@@ -152,8 +150,11 @@ class Codec:
         self._rules = Tokenizer.from_str(spec)  # its normaliser and splitter, for words of other letters
         self._bytes = _byte_symbols()
         self._names = {**self.vocabulary.names, **{i: s for s, i in self.special.items()}}
+        # what is asked for again moves from the old generation to the young one; a full young one becomes the old
         self._memo: dict[str, Found] = {}
+        self._old_memo: dict[str, Found] = {}
         self._pieces: dict[str, Found] = {}
+        self._old_pieces: dict[str, Found] = {}
 
     def _split(self, word: str) -> list[str]:
         """A word's pieces in byte symbols; a special token stands alone."""
@@ -173,12 +174,15 @@ class Codec:
     def _learn(self, words: set[str]) -> None:
         """Fill the memo with words that it lacks: all their new pieces in one traversal."""
         split = [(w, self._split(w)) for w in words]
-        known, names = self._pieces, self._names
-        if len(known) > MEMO_WORDS:
-            known.clear()
+        if len(self._pieces) > MEMO_PIECES:
+            self._pieces, self._old_pieces = {}, self._pieces
+        known, old, names = self._pieces, self._old_pieces, self._names
         for s, i in self.special.items():
             known[s] = 1, str(i), s
         new = {p for _, ps in split for p in ps if p not in known}
+        again = new & old.keys()
+        known.update((p, old[p]) for p in again)
+        new -= again
         for p, ids in self.vocabulary.encode_all(new):
             known[p] = (1, str(ids[0]), names[ids[0]]) if len(ids) == 1 else (len(ids), " ".join([str(i) for i in ids]), " ".join([names[i] for i in ids]))
         for w, ps in split:
@@ -193,17 +197,21 @@ class Codec:
 
     def _known(self, texts: list[str]) -> list[list[str]]:
         split = [self.words(t) for t in texts]
-        new = set().union(*split) - self._memo.keys() if split else set()
+        if len(self._memo) > MEMO_WORDS:
+            self._memo, self._old_memo = {}, self._memo
+        memo, old = self._memo, self._old_memo
+        new = set().union(*split) - memo.keys()
+        again = new & old.keys()
+        memo.update((w, old[w]) for w in again)
+        new -= again
         if new:
-            if len(self._memo) + len(new) > MEMO_WORDS:
-                self._memo.clear()
-                new = set().union(*split)
             self._learn(new)
         return split
 
     def encode(self, texts: list[str]) -> list[str]:
         """Decimal ids of each text, joined by one space."""
-        return [" ".join(x for w in ws if (x := self._memo[w][1])) for ws in self._known(texts)]
+        split = self._known(texts)
+        return [" ".join(x for w in ws if (x := self._memo[w][1])) for ws in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by one space, as the vocabulary's file has no decoder; unknown ids are left out."""
@@ -214,8 +222,9 @@ class Codec:
 
         A word's ids decode to the same strings wherever it stands, so decoding a word once decodes it everywhere.
         """
+        split = self._known(texts)
         out, memo = [], self._memo
-        for ws in self._known(texts):
+        for ws in split:
             found = [x for w in ws if (x := memo[w])[0]]
             ids = " ".join([x[1] for x in found])
             names = " ".join([x[2] for x in found])
@@ -245,8 +254,8 @@ def vocabulary_file(path: str | None = None) -> str:
         return f.read()
 
 
-def text_runs(texts: list[str | None], size: int = 1 << 21) -> Iterator[list[str]]:
-    """Runs of texts of about ``size`` characters; bounds what a traversal holds."""
+def text_runs(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``size`` characters, which bounds what a traversal holds."""
     run: list[str] = []
     total = 0
     for t in texts:
