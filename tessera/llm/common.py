@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a scanned input for each block or bucket that one task holds in memory.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def scaled_parts(df: DataFrame, bytes_each: int = BLOCK_BYTES, most: int = 1 << 20) -> int:

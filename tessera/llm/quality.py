@@ -86,8 +86,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         for a, b in chunks(texts, 1 << 20):
             x = statistics(texts[a:b]).astype(np.float32)
-            data = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], data, *[c[a:b] for c in batch.columns[1:]][1:]], ["__id", "x", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([r.tobytes() for r in x], pa.binary())], ["__id", "x"])
 
 
 @dataclass
@@ -164,7 +163,22 @@ def _scores(shared):
         for batch in batches:
             x = _matrix(batch.column(1))
             score = model.score(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), *batch.columns[2:]], ["__id", "score", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["__id", "score"])
+
+    return run
+
+
+def _scores_of_texts(shared):
+    """The same from the texts, which go on with their rows: one pass, in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in chunks(texts, 1 << 20):
+                x = statistics(texts[a:b]).astype(np.float32).astype(float)
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(model.score(x), pa.float64()), *own.columns[1:]], ["__id", "score", *batch.schema.names[1:]])
 
     return run
 
@@ -182,10 +196,10 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = spark.sparkContext.broadcast(fit(x, teaching(labels, label)))
     out = T.StructType().add("__id", "long").add("score", "double")
     if carry:
-        kind_c = T.StructType().add("__id", "long").add("x", "binary").add("__text", "string").add("__row", rows.schema["__row"].dataType)
-        x = rows.select("__id", "__text", F.col("__text").alias("__keep"), "__row").mapInArrow(_describe, T.StructType([*kind_c.fields[:2], T.StructField("__keep", T.StringType()), kind_c["__row"]]))
         out = out.add("__text", "string").add("__row", rows.schema["__row"].dataType)
-    found = x.mapInArrow(_scores(model), out)
+        found = rows.mapInArrow(_scores_of_texts(model), out)
+    else:
+        found = x.mapInArrow(_scores(model), out)
     return found.withColumns({"held_out": held_out(F.col("__id")), "predicted": (F.col("score") >= threshold).cast("int")})
 
 
