@@ -25,9 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm import bpe
 from tessera.llm.common import materialize, shared_dir
@@ -37,7 +37,7 @@ from tessera.llm.words import U, mix
 END, PAD = 0xFF, 0xFE
 ROUNDS = 6
 #: Bytes of a shard, about; more for inputs that would make over MOST_SHARDS.
-SHARD_BYTES, MOST_SHARDS = 16 << 20, 100_000
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1_000_000
 #: A slot's entry in the table beside a shard.
 ENTRY = np.dtype([("doc", "<i8"), ("chunk", "<i4"), ("tokens", "<i4")])
 
@@ -85,75 +85,86 @@ def _tokens(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield _byte_tokens(x) if width == 1 else np.frombuffer(x, f"<u{width}")
 
 
+def _packed(slot: np.ndarray, entry: np.ndarray, data: np.ndarray, zstd) -> bytes:
+    return zstd.compress(b"".join([slot.astype("<i8").tobytes(), entry.tobytes(), data.tobytes()]))
+
+
 def _slots(length: int, width: int, pad: int, offsets, permutation: Permutation, per_shard: int):
-    """(shard, slot, doc, chunk, tokens, data) of each sequence of a partition."""
+    """(shard, n, data): a batch's sequences by shard, compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
         at, stop = offsets.value.get(pid, (0, 0))
+        zstd = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            docs, chunk, n, data = [], [], [], []
-            for doc, x in zip(batch.column(0).to_pylist(), _tokens(batch, width), strict=True):
-                count = -(-len(x) // length)
-                full = np.full(count * length, pad, x.dtype)
-                full[: len(x)] = x
-                raw = full.tobytes()
-                stride = length * width
-                docs += [doc] * count
-                chunk += range(count)
-                n += [length] * (count - 1) + [len(x) - length * (count - 1)]
-                data += [raw[i : i + stride] for i in range(0, len(raw), stride)]
-            if not docs:
+            tokens = list(_tokens(batch, width))
+            sizes = np.array([len(x) for x in tokens], np.int64)
+            counts = -(-sizes // length)
+            total = int(counts.sum())
+            if not total:
                 continue
-            slot = permutation.slot(np.arange(at, at + len(docs)))
-            at += len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(docs, pa.int64()), pa.array(chunk, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["shard", "slot", "doc", "chunk", "tokens", "data"])
+            full = np.full((total, length), pad, f"<u{width}")
+            flat = full.reshape(-1)
+            ends = np.cumsum(counts)
+            for x, row in zip(tokens, (ends - counts).tolist(), strict=True):
+                flat[row * length : row * length + len(x)] = x
+            entry = np.empty(total, ENTRY)
+            entry["doc"] = np.repeat(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), counts)
+            entry["chunk"] = np.arange(total) - np.repeat(ends - counts, counts)
+            entry["tokens"] = np.minimum(np.repeat(sizes, counts) - entry["chunk"] * length, length)
+            slot = permutation.slot(np.arange(at, at + total))
+            at += total
+            shard = slot // per_shard
+            order = np.argsort(shard, kind="stable")
+            cut = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), total)
+            parts = [order[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array([_packed(slot[p], entry[p], full[p], zstd) for p in parts], pa.binary())], ["shard", "n", "data"])
         if at != stop:
             raise RuntimeError(f"partition {pid} has other rows than when they were counted")
 
     return run
 
 
-def _write(folder: str):
+def _write(folder: str, total: int, length: int, width: int, per_shard: int):
+    """Fill each shard from its parts, which come one after the other, and write it with its table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, path = _store(folder)
         attempt = TaskContext.get().taskAttemptId()
-        shard, first, count, files = None, 0, 0, []
-
-        def close() -> list[tuple[int, int, int]]:
-            if shard is None:
-                return []
-            for f, (own, name) in files:
-                f.close()
-                fs.move(own, name)
-            return [(shard, first, count)]
-
+        shard, filled, data, entry = -1, 0, None, None
+
+        def close() -> int:
+            """Under the attempt's own names first, then renamed: a task that runs again leaves the same files."""
+            if shard < 0:
+                return 0
+            if filled != len(entry):
+                raise RuntimeError(f"shard {shard} has {filled} of {len(entry)} sequences")
+            for end, content in (("bin", data), ("idx", entry)):
+                name = f"{path}/shard-{shard:08d}.{end}"
+                with fs.open_output_stream(f"{name}.{attempt}") as out:
+                    out.write(memoryview(content).cast("B"))
+                fs.move(f"{name}.{attempt}", name)
+            return filled
+
+        done = 0
         for batch in batches:
-            done = []
-            ids = batch.column(0).to_numpy()
-            for a in np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1)).tolist() if len(ids) else []:
-                b = a + int(np.searchsorted(ids[a:], ids[a], "right"))
-                if shard != ids[a]:
+            for s, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != shard:
                     done += close()
-                    shard, first, count = int(ids[a]), batch.column(1)[a].as_py(), 0
-                    names = [f"{path}/shard-{shard:08d}.{end}" for end in ("bin", "idx")]
-                    files = [(fs.open_output_stream(f"{x}.{attempt}"), (f"{x}.{attempt}", x)) for x in names]
-                entry = np.empty(b - a, ENTRY)
-                doc = batch.column(2)[a:b]
-                entry["doc"] = doc.fill_null(-1).to_numpy(zero_copy_only=False)
-                entry["chunk"], entry["tokens"] = batch.column(3)[a:b].to_numpy(), batch.column(4)[a:b].to_numpy()
-                files[0][0].write(b"".join(batch.column(5)[a:b].to_pylist()))
-                files[1][0].write(entry.tobytes())
-                count += b - a
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], ["shard", "first", "count"])
-        last = close()
-        if last:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*last, strict=True)], ["shard", "first", "count"])
+                    shard, filled = s, 0
+                    size = min(per_shard, total - s * per_shard)
+                    data, entry = np.empty((size, length * width), np.uint8), np.empty(size, ENTRY)
+                raw = zstandard.ZstdDecompressor().decompress(packed)
+                at = np.frombuffer(raw, "<i8", n) - s * per_shard
+                entry[at] = np.frombuffer(raw, ENTRY, n, 8 * n)
+                data[at] = np.frombuffer(raw, np.uint8, offset=(8 + ENTRY.itemsize) * n).reshape(n, -1)
+                filled += n
+        done += close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["count"])
 
     return run
 
@@ -196,10 +207,9 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     fs.create_dir(path, recursive=True)
     meta = {"sequences": total, "length": length, "width": width, "per_shard": per_shard, "shards": shards, "key": key, "pad": pad}
     if total:
-        kind = T.StructType().add("shard", "long").add("slot", "long").add("doc", "long").add("chunk", "integer").add("tokens", "integer").add("data", "binary")
-        spread = rows.mapInArrow(_slots(length, width, pad, spark.sparkContext.broadcast(offsets), Permutation(total, key), per_shard), kind)
-        placed = spread.repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "slot")
-        written = placed.mapInArrow(_write(folder), "shard long, first long, count long").agg(F.sum("count")).first()[0]
+        parts = rows.mapInArrow(_slots(length, width, pad, spark.sparkContext.broadcast(offsets), Permutation(total, key), per_shard), "shard long, n long, data binary")
+        placed = parts.repartition(shards, "shard").sortWithinPartitions("shard")
+        written = placed.mapInArrow(_write(folder, total, length, width, per_shard), "count long").agg(F.sum("count")).first()[0]
         if written != total:
             raise RuntimeError(f"{written} of {total} sequences were written")
     with fs.open_output_stream(f"{path}/meta.json") as out:
