@@ -101,6 +101,29 @@ def needed(pivots: np.ndarray, cells: dict[int, tuple[int, float]], queries: dic
     return out
 
 
+def together(plan: dict[int, list[int]], queries: dict[int, int]) -> list[tuple[list[int], set[int]]]:
+    """Query cells in groups of at most QUERY_ROWS queries (or one cell), each with the data cells that it needs.
+
+    A group begins with the cell that has most queries and takes those that add least to its data.
+    """
+    left = set(plan)
+    out = []
+    while left:
+        first = max(left, key=lambda c: (queries[c], c))
+        left.discard(first)
+        cells, need, n = [first], set(plan[first]), queries[first]
+        while left:
+            best = min(left, key=lambda c: (len(set(plan[c]) - need), c))
+            if n + queries[best] > QUERY_ROWS:
+                break
+            left.discard(best)
+            cells.append(best)
+            need |= set(plan[best])
+            n += queries[best]
+        out.append((cells, need))
+    return out
+
+
 def _local(k: int, width: int):
     def run(key: tuple, queries: pa.Table, data: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -163,34 +186,30 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     # which (query cell, part) meets which (data cell, part): sent to data and queries as small tables by cell
     if not plan:
         return spark.createDataFrame([], out)
-    # data cells are dealt to blocks; small cells that go to the same query cell share one
+    # query cells that need much the same data go together, so that data is replicated to few groups
     to_data, to_query, block = [], [], 0
-    for qc, cs in plan.items():
-        held = 0
-        here: list[tuple[int, int]] = []
-        for c in sorted(cs):
-            size = next(s.n for s in summary if s.cell == c)
-            if held and held + size > BLOCK_ROWS or chunk[c] > 1:
-                if here:
-                    to_data += [(a, 1, b, block) for a, b in here]
-                    to_query.append((qc, block, 1))
-                    block += 1
-                here, held = [], 0
-            if chunk[c] > 1:
-                to_data.append((c, chunk[c], 0, block))
-                to_query.append((qc, block, chunk[c]))
+    size = {s.cell: s.n for s in summary}
+    for cells, cs in together(plan, {s.cell: s.q for s in summary}):
+        here: list[int] = []
+        blocks: list[tuple[int, int]] = []  # first block and number of blocks
+        for c in [*sorted(cs), None]:
+            if here and (c is None or chunk[c] > 1 or sum(size[h] for h in here) + size[c] > BLOCK_ROWS):
+                to_data += [(h, 1, block) for h in here]
+                blocks.append((block, 1))
+                block += 1
+                here = []
+            if c is not None and chunk[c] > 1:
+                to_data.append((c, chunk[c], block))
+                blocks.append((block, chunk[c]))
                 block += chunk[c]
-            else:
-                here.append((c, 0))
-                held += size
-        if here:
-            to_data += [(a, 1, b, block) for a, b in here]
-            to_query.append((qc, block, 1))
-            block += 1
-    data_to = F.broadcast(spark.createDataFrame(to_data, "cell int, parts int, skip int, block long"))
-    query_to = F.broadcast(spark.createDataFrame([(qc, b + i, groups[qc]) for qc, b, m in to_query for i in range(m)], "cell int, block long, groups int"))
+            elif c is not None:
+                here.append(c)
+        parts = max(groups[c] for c in cells)
+        to_query += [(c, b + i, parts) for c in cells for b, m in blocks for i in range(m)]
+    data_to = F.broadcast(spark.createDataFrame(to_data, "cell int, parts int, block long"))
+    query_to = F.broadcast(spark.createDataFrame(to_query, "cell int, block long, groups int"))
     data = placed.join(data_to, "cell").select("id", "v", (F.col("block") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
-    every = query_to.select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+    every = query_to.select("block", "groups").distinct().select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
     asked = placed.where("query").join(query_to, "cell").select(F.col("id").alias("qid"), F.col("v").alias("qv"), "block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("groups")).cast("int").alias("part"))
     met = asked.groupBy("block", "part").cogroup(data.join(F.broadcast(every), "block").select(F.col("id").alias("did"), F.col("v").alias("dv"), F.col("block").alias("dblock"), F.col("part").alias("dpart")).groupBy("dblock", "dpart")).applyInArrow(_local(k, width), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
