@@ -206,7 +206,7 @@ def main_slots(wrapper: list) -> list[tuple[str, ...]]:
     Slots in an article or main element; else those below the deepest element that holds
     most of the text of the slots that vary (of all, if none does).
     """
-    slots: list[tuple[tuple[str, ...], list]] = []
+    slots: list[tuple[tuple[str, ...], list]] = [((), wrapper)] if wrapper[3] else []
     _slots(wrapper, (), slots)
     for named in (r"article\b", r"main\b"):
         own = [p for p, _ in slots if any(re.match(named, k) for k in p)]

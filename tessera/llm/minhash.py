@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = classes.join(found, "class_id", "left").select("n", "s1", "s2", F.coalesce("root", "class_id").alias("own"))
     # rows of one id may have different texts: the smallest component of any holds for all
     known = profile.select("id", "n", "s1", "s2")
-    out = known.join(labelled, ["n", "s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("own", "id").alias("component_id"))
+    out = known.join(labelled, ["n", "s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("own", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 

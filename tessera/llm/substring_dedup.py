@@ -53,9 +53,7 @@ class Block:
     def of(cls, table: pa.Table, window: int) -> tuple[Block, list[bytes], pa.Table]:
         """The block in an order that depends on its rows alone."""
         texts = table.column("__text").combine_chunks().cast(pa.binary()).to_pylist()
-        ids = table.column("__id").to_numpy(zero_copy_only=False)
-        known = ~table.column("__id").is_null().to_numpy(zero_copy_only=False)
-        ids = np.where(known, ids, NO_ID).astype(np.int64)
+        ids = pc.fill_null(table.column("__id"), NO_ID).to_numpy()
         counts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U)]
         for a, b in chunks(texts):
             w = find_words(texts[a:b], SPACE)

@@ -194,6 +194,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
 
         rows = materialize(ids.mapInArrow(pack, "doc long, text binary"))
         n_tokens = F.octet_length("text") / width
+    elif "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = materialize(rows)  # what a shuffle deals out may be dealt otherwise the second time
     # the same scan is read twice; the second pass checks that each partition counts alike
     counted = rows.groupBy(F.spark_partition_id().alias("pid")).agg(F.sum(F.ceil(n_tokens / length)).alias("n")).orderBy("pid").collect()
     offsets, total = {}, 0
