@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import CACHES, tidy
+
 #: What the vocabulary's ``\s`` matches, which no word holds.
 _SPACES = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[{_SPACES}]+")
@@ -233,6 +235,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+CACHES["bpe"] = _codecs.clear
 
 
 def codec(spec: str) -> Codec:
@@ -290,4 +293,4 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
                 cols += [pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, out.names)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, out)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy("bpe", run), out)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,56 @@ def carried(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame
 def restored(df: DataFrame, like: DataFrame, text_col: str, text: Column) -> DataFrame:
     """The columns of ``like`` again, out of ``__row``, with ``text`` as the text column."""
     return df.select(*[(text if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in like.columns])
+
+
+#: What empties the caches that an operator keeps in a Python worker, by operator.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def enter(owner: str) -> None:
+    """Workers outlive a stage: the caches of other operators go before this one's work begins."""
+    for name, clear in CACHES.items():
+        if name != owner:
+            clear()
+
+
+def leave() -> None:
+    """Give freed memory back to the system, which otherwise counts against the executor while the worker idles."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(owner: str, run):
+    """``run``, a function of batches for mapInArrow, between ``enter`` and ``leave``."""
+
+    def wrapped(batches):
+        enter(owner)
+        try:
+            yield from run(batches)
+        finally:
+            leave()
+
+    return wrapped
+
+
+def tidy_group(owner: str, run):
+    """The same for a function of one group or two cogroups."""
+
+    def one(key, table):
+        enter(owner)
+        try:
+            return run(key, table)
+        finally:
+            leave()
+
+    def two(key, left, right):
+        enter(owner)
+        try:
+            return run(key, left, right)
+        finally:
+            leave()
+
+    return two if run.__code__.co_argcount == 3 else one

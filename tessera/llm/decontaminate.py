@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import carried, materialize, restored
+from tessera.llm.common import carried, materialize, restored, tidy
 from tessera.llm.words import PUNCT, chunks, find_words
 
 #: Most words in a block of queries; a block is broadcast.
 BLOCK_WORDS = 400_000
 #: Text in a segment of the index.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 
 
 class Postings:
@@ -191,7 +191,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     kind = T.StructType([T.StructField(f.name, f.dataType) for f in found.schema])
     blocks = query_blocks(benchmark, item_col, item_text_col, window)
     for i, block in enumerate(blocks):
-        found = found.mapInArrow(_searcher(spark.sparkContext.broadcast(block)), kind)
+        found = found.mapInArrow(tidy("decontaminate", _searcher(spark.sparkContext.broadcast(block))), kind)
         if i + 1 < len(blocks):
             found = materialize(found)  # so that one block at a time is held by the executors
     return found if carry else found.drop("__text")

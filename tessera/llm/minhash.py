@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, scaled_parts
+from tessera.llm.common import materialize, scaled_parts, tidy, tidy_group
 from tessera.llm.components import connected
 from tessera.llm.words import SPACE, U, chunks, find_words, mix, window_hash
 
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = scaled_parts(docs)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = T.StructType().add("id", "long").add("n", "long").add("s1", "long").add("s2", "long").add("bands", T.ArrayType(T.LongType()))
-    profile = materialize(rows.mapInArrow(_profile(width, band_rows(percent)), kind))
+    profile = materialize(rows.mapInArrow(tidy("minhash", _profile(width, band_rows(percent))), kind))
     some = profile.where("n > 0 AND id IS NOT NULL")
 
     # one class for equal sets; its smallest document stands for it
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     task = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(4 * n)).cast("int")
     # the clusters' members grow with the documents, so they are never broadcast to the texts
     dealt = rows.join(placed.hint("merge"), "id").select("id", "text", "cluster", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))).alias("ij")).select("id", "text", "cluster", "part", "ij.i", "ij.j").withColumn("task", task)
-    links = dealt.groupBy("task").applyInArrow(_confirm(width, percent), "a long, b long")
+    links = dealt.groupBy("task").applyInArrow(tidy_group("minhash", _confirm(width, percent)), "a long, b long")
     found = connected(links).withColumnRenamed("node", "class_id")
 
     labelled = classes.join(found, "class_id", "left").select("n", "s1", "s2", F.coalesce("root", "class_id").alias("own"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import carried, materialize, restored
+from tessera.llm.common import carried, materialize, restored, tidy
 from tessera.llm.labelled import held_out, isotonic, summed, teaching
 from tessera.llm.words import SPACE, U, chunks, find_words, window_hash
 
@@ -192,12 +192,12 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     rows = carried(docs, id_col, text_col, carry)
     kind = T.StructType().add("__id", "long").add("x", "binary")
-    x = materialize(rows.select("__id", "__text").mapInArrow(_describe, kind))
+    x = materialize(rows.select("__id", "__text").mapInArrow(tidy("quality", _describe), kind))
     model = spark.sparkContext.broadcast(fit(x, teaching(labels, label)))
     out = T.StructType().add("__id", "long").add("score", "double")
     if carry:
         out = out.add("__text", "string").add("__row", rows.schema["__row"].dataType)
-        found = rows.mapInArrow(_scores_of_texts(model), out)
+        found = rows.mapInArrow(tidy("quality", _scores_of_texts(model)), out)
     else:
         found = x.mapInArrow(_scores(model), out)
     return found.withColumns({"held_out": held_out(F.col("__id")), "predicted": (F.col("score") >= threshold).cast("int")})

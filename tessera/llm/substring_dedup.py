@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import carried, restored, scaled_parts
+from tessera.llm.common import carried, restored, scaled_parts, tidy_group
 from tessera.llm.words import SPACE, U, chunks, find_words, window_hash
 
 #: A perfect difference cover modulo 7: every difference occurs.
@@ -282,17 +282,17 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = scaled_parts(docs)
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("__id"), F.lit(n)).cast("int")).repartition(n, "block")
     by_block = blocks.groupBy("block")
-    sent = by_block.applyInArrow(_send_anchors(n, window), _PACKED)
-    shared = sent.groupBy("bucket").applyInArrow(_shared_anchors, _REPLY)
-    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(n, window), _PACKED)
-    smaller = windows.groupBy("bucket").applyInArrow(_smaller_elsewhere, _REPLY)
+    sent = by_block.applyInArrow(tidy_group("substring", _send_anchors(n, window)), _PACKED)
+    shared = sent.groupBy("bucket").applyInArrow(tidy_group("substring", _shared_anchors), _REPLY)
+    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(tidy_group("substring", _send_windows(n, window)), _PACKED)
+    smaller = windows.groupBy("bucket").applyInArrow(tidy_group("substring", _smaller_elsewhere), _REPLY)
     replies = shared.withColumn("step", F.lit(1)).unionByName(smaller.withColumn("step", F.lit(2)))
     out = T.StructType().add("__id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
         out = out.add("kept_text", "string")
     if carry:
         out = out.add("__row", rows.schema["__row"].dataType)
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(_finish(n, window, carry, with_text), out)
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(tidy_group("substring", _finish(n, window, carry, with_text)), out)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:

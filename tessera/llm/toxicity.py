@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import carried
+from tessera.llm.common import carried, tidy
 from tessera.llm.labelled import held_out, isotonic, summed, teaching
 from tessera.llm.words import PUNCT, U, Words, chunks, find_words, mix
 
@@ -140,7 +140,7 @@ def fit(rows: DataFrame) -> Model:
     blank = Model(np.zeros(0, U), np.zeros(0), knots=np.array([0.0]), levels=np.array([toxic_n / n if n else 0.0]))
     if not toxic_n or not clean_n:
         return blank
-    counts = rows.mapInArrow(_count_units, "u long, t double, c double").groupBy("u").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = rows.mapInArrow(tidy("toxicity", _count_units), "u long, t double, c double").groupBy("u").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     prior = PRIOR * n
     p = prior * (F.col("t") + F.col("c")) / n
     a, b = F.col("t") + p, F.col("c") + p
@@ -240,5 +240,5 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     out = T.StructType().add("__id", "long").add("score", "double").add("passages", T.ArrayType(span))
     if carry:
         out = out.add("__row", rows.schema["__row"].dataType)
-    found = rows.mapInArrow(_scores(model), out)
+    found = rows.mapInArrow(tidy("toxicity", _scores(model)), out)
     return found.withColumns({"held_out": held_out(F.col("__id")), "predicted": (F.col("score") >= threshold).cast("int")})

@@ -15,6 +15,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = np.ones(1, U), np.ones(1, U)
+HASHED_BYTES = 1 << 19
 
 
 def _table(separators: Sequence[int]) -> np.ndarray:
@@ -51,7 +52,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             np.multiply.accumulate(p, out=p)
             out.append(p)
-        if size > 1 << 23:  # a very long text: don't keep tables of its length
+        if size > 4 * HASHED_BYTES:  # a very long word: don't keep tables of its length
             return out[0], out[1]
         _powers = out[0], out[1]
     return _powers
@@ -67,12 +68,22 @@ class Words:
     bounds: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        """64 bits of each word, equal for equal bytes: a polynomial over the bytes from prefix sums."""
-        p, q = _power_tables(len(self.buf) + 1)
-        s = np.zeros(len(self.buf) + 1, U)
-        np.cumsum((self.buf.astype(U) + U(1)) * p[: len(self.buf)], out=s[1:])
-        h = (s[self.ends] - s[self.starts]) * q[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U) * U(0xD6E8FEB86659FD93))
+        """64 bits of each word, equal for equal bytes: a polynomial over the bytes from prefix sums.
+
+        Runs of words of HASHED_BYTES are hashed at a time; where a word stands doesn't matter to its hash.
+        """
+        out = np.empty(len(self.starts), U)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + HASHED_BYTES, "right")))
+            first, last = int(self.starts[i]), int(self.ends[i:j].max())
+            p, q = _power_tables(last - first + 1)
+            s = np.zeros(last - first + 1, U)
+            np.cumsum((self.buf[first:last].astype(U) + U(1)) * p[: last - first], out=s[1:])
+            at, to = self.starts[i:j] - first, self.ends[i:j] - first
+            out[i:j] = mix((s[to] - s[at]) * q[at] + (to - at).astype(U) * U(0xD6E8FEB86659FD93))
+            i = j
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
