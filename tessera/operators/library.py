@@ -1,8 +1,8 @@
 """Factor libraries: dependence between factors, admission, screening, combination and selection.
 
-Factors are long: (``factor``, ``asset_id``, ``t_idx``, ``v``). Pairs come from one
-self-join on (bar, asset), so their number is that of the library's pairs, and the join
-is co-partitioned. Libraries have hundreds of factors; pair tables are small.
+Factors are long: (``factor``, ``asset_id``, ``t_idx``, ``v``). A cell's factors meet in
+one shuffle by (asset, bar) and are paired there. Libraries have hundreds of factors;
+tables of pairs are small.
 """
 
 from __future__ import annotations
@@ -22,8 +22,13 @@ def long_form(wide: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def _pairs(values: DataFrame) -> DataFrame:
-    other = values.select(F.col("factor").alias("b"), *KEYS, F.col("v").alias("y"))
-    return values.select(F.col("factor").alias("a"), *KEYS, F.col("v").alias("x")).join(other, list(KEYS)).where("a < b")
+    """(a, b, asset_id, t_idx, x, y) of each cell's pairs of factors: the factors are computed once, and a cell holds a library at most."""
+    cells = values.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("factor", "v"))).alias("m"))
+
+    def after(p, i):
+        return F.transform(F.slice("m", i + 2, F.size("m")), lambda q: F.struct(p["factor"].alias("a"), q["factor"].alias("b"), p["v"].alias("x"), q["v"].alias("y")))
+
+    return cells.select(*KEYS, F.explode(F.flatten(F.transform("m", after))).alias("s")).select("s.a", "s.b", *KEYS, "s.x", "s.y")
 
 
 def dependence(values: DataFrame, method: str = "spearman", least: int = 3) -> DataFrame:
