@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import CACHES, tidy
+from tessera.llm.common import CACHES, bound_batches, tidy
 
 #: What the vocabulary's ``\s`` matches, which no word holds.
 _SPACES = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -277,6 +277,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     A null or empty text has no tokens. Rows with equal ids stay apart; a null id stays null.
     The vocabulary (a file of bounded size, read on the driver) travels as a broadcast value.
     """
+    bound_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))
     out = T.StructType().add("id", "long").add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:

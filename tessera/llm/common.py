@@ -49,6 +49,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def carried(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
     """``df`` as (``__id``, ``__text``, ``__row``): the whole row rides along in a struct, so no name can clash."""
+    bound_batches(df.sparkSession)
     cols: list[Column] = [F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")]
     if carry:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("__row"))
@@ -60,6 +61,18 @@ def restored(df: DataFrame, like: DataFrame, text_col: str, text: Column) -> Dat
     return df.select(*[(text if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in like.columns])
 
 
+#: Most bytes of texts that Spark hands to a Python worker at once; long texts make batches of fewer rows.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_BYTES in this session, unless they are held to less already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    value = spark.conf.get(key) or ""
+    if not value.isdigit() or int(value) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 #: What empties the caches that an operator keeps in a Python worker, by operator.
 CACHES: dict[str, Callable[[], None]] = {}
 

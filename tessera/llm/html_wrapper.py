@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bound_batches, materialize
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[/a-zA-Z!?])[^<]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -295,6 +295,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Pages that are null, empty or without an article's text give an empty text. Rows with
     equal ids stay apart; a null url belongs to the host ''.
     """
+    bound_batches(pages.sparkSession)
     slots = materialize(wrappers(pages, url_col, html_col).mapInArrow(_host_slots, "host string, slots string"))
     size = slots.agg(F.sum(F.length("host") + F.length("slots"))).first()[0] or 0
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))

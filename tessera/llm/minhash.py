@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, scaled_parts, tidy, tidy_group
+from tessera.llm.common import bound_batches, materialize, scaled_parts, tidy, tidy_group
 from tessera.llm.components import connected
 from tessera.llm.words import SPACE, U, chunks, find_words, mix, window_hash
 
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one holds for all. A row with a null id is linked with nothing; its component is null
     and it is kept.
     """
+    bound_batches(docs.sparkSession)
     n = scaled_parts(docs)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = T.StructType().add("id", "long").add("n", "long").add("s1", "long").add("s2", "long").add("bands", T.ArrayType(T.LongType()))

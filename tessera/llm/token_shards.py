@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import materialize, shared_dir
+from tessera.llm.common import bound_batches, materialize, shared_dir
 from tessera.llm.warc import _store
 from tessera.llm.words import U, mix
 
@@ -178,6 +178,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     no shards. Rows with equal ids stay apart; a null id is -1 in the table of slots.
     """
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     folder = folder or shared_dir(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     width, pad = 1, PAD

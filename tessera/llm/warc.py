@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import bound_batches, shared_dir
 
 #: Fixed values of the seekable format: skippable frame numbers, footer mark.
 INDEX_FRAME, TABLE_FRAME, FOOTER_MARK = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -196,6 +196,7 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     are always responses. Records with equal payloads and equal smallest ids are all
     responses. A null id comes after all others: such a record revisits, if there is another.
     """
+    bound_batches(pages.sparkSession)
     payload = F.coalesce(F.encode(F.col(f"`{html_col}`"), "utf-8"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("pid"), F.col(f"`{url_col}`").alias("url"), payload.alias("html"))
     rows = rows.select("*", F.octet_length("html").cast("long").alias("size"), F.sha2("html", 256).alias("h"))
