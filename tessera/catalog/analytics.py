@@ -12,6 +12,7 @@ from tessera.operators import library as L
 from tessera.operators import metrics as M
 from tessera.operators import portfolio as P
 from tessera.operators import preparing as R
+from tessera.operators import research as S
 from tessera.operators import retrieval as V
 from tessera.plans.compiler import evaluate
 from tessera.plans.formula import family, parse
@@ -351,3 +352,33 @@ def regime_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+
+@query("reward", f"SELECT c_custkey, {q6('pow(least(abs(c_acctbal / 10000), 1.0), 0.5) * pow(1 - greatest(0.0, least(1.0, c_nationkey / 25.0)), 2.0)')} AS reward FROM customer")
+def reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select("c_custkey", r6(S.reward(F.col("c_acctbal") / 10000, F.col("c_nationkey") / 25.0, 0.5, 2.0)).alias("reward"))
+
+
+@query("dependence_profile")
+def dependence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dependence_profile(values(spark, sf_dir))
+
+
+@query("marginal_utility")
+def marginal_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.marginal_utility(wide(spark, sf_dir), ["f1", "f2"], "f3")
+
+
+@query("rolling_ridge")
+def rolling_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.rolling_ridge(wide(spark, sf_dir), ["f1", "f2", "f3"])
+
+
+@query("attribution", f"""WITH {_F}, {_FIC}, g AS (SELECT factor, t_idx, target AS y, floor(count(*) OVER (PARTITION BY factor, t_idx) / 5) AS k, row_number() OVER (PARTITION BY factor, t_idx ORDER BY v, aid) AS up, row_number() OVER (PARTITION BY factor, t_idx ORDER BY v DESC, aid DESC) AS down
+FROM (SELECT factor, t_idx, v, target, asset_id AS aid FROM fv JOIN (SELECT asset_id AS x, t_idx AS tid, target FROM s WHERE target IS NOT NULL) ON x = asset_id AND tid = t_idx)),
+b AS (SELECT factor, t_idx, avg(y) FILTER (down <= k) - avg(y) FILTER (up <= k) AS ls FROM g WHERE k > 0 GROUP BY ALL), l AS (SELECT factor, avg(ls) AS ls FROM b GROUP BY factor), i AS (SELECT factor, avg(ic) AS m, avg(ic) / stddev_samp(ic) AS r FROM fi GROUP BY factor)
+SELECT i.factor, {q6('m')} AS ic_mean, {q6('r')} AS icir, {q6('ls')} AS ls FROM i LEFT JOIN l ON l.factor = i.factor""")
+def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = S.attribution(wide(spark, sf_dir), list(FACTORS))
+    return got.select("factor", *[r6(c).alias(c) for c in ("ic_mean", "icir", "ls")])
