@@ -107,7 +107,7 @@ def long_short_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("drawdown_spells", f"""WITH {_SIGNAL_SQL}, {_LEG}, c AS (SELECT t_idx, sum(coalesce(ls, 0)) OVER (ORDER BY t_idx) AS c FROM ls), g AS (SELECT t_idx, c - max(c) OVER (ORDER BY t_idx) AS gap FROM c),
-h AS (SELECT *, sum((gap >= 0)::INT) OVER (ORDER BY t_idx) AS spell FROM g) SELECT spell, min(t_idx) AS start, arg_min(t_idx, {{'a': gap, 'b': t_idx}}) AS trough, max(t_idx) AS "end", {q6('min(gap)')} AS depth FROM h WHERE gap < 0 GROUP BY spell""")
+h AS (SELECT *, (sum((gap >= 0)::INT) OVER (ORDER BY t_idx))::BIGINT AS spell FROM g) SELECT spell, min(t_idx) AS start, arg_min(t_idx, {{'a': gap, 'b': t_idx}}) AS trough, max(t_idx) AS "end", {q6('min(gap)')} AS depth FROM h WHERE gap < 0 GROUP BY spell""")
 def drawdown_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.drawdowns(M.legs(signals(spark, sf_dir)), "ls").withColumn("depth", r6("depth"))
 

@@ -32,7 +32,7 @@ def newey_west(df: DataFrame, value: str, lags: int | None = None) -> DataFrame:
     g = e.withColumns({f"l{k}": F.lag("e", k).over(order) for k in range(1, lags + 1)}).agg(*cols) if lags else e.agg(*cols)
     var = F.col("g0") + sum((2 * (1 - k / (lags + 1)) * F.coalesce(F.col(f"g{k}"), F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0))
     se = F.sqrt(F.greatest(var, F.lit(0.0))) / n if n else F.lit(None).cast("double")
-    out = g.select(F.lit(n).alias("n"), F.lit(mean).cast("double").alias("mean"), se.alias("se"))
+    out = g.select(F.lit(n).cast("long").alias("n"), F.lit(mean).cast("double").alias("mean"), se.alias("se"))
     return out.withColumn("t", F.try_divide(F.col("mean"), F.col("se")))
 
 
