@@ -26,7 +26,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slots(spark, write_shards(_table(spark, sf_dir, "documents")))
+    import public_tokenizers
+
+    return slots(spark, write_shards(_table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

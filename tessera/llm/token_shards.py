@@ -12,7 +12,7 @@ begins at byte (s mod per_shard) * stride of shard s // per_shard. Readers go on
 slot without an index. Beside each shard lies a table of the same kind that names each
 slot's document.
 
-Ids take as many bytes as the vocabulary asks for. The default vocabulary is the bytes of
+Ids take as many bytes as the vocabulary asks for. The query uses a BPE file; without one ids are the bytes of
 UTF-8 with two that UTF-8 never uses, for the end of a document and for padding.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import bound_batches, materialize, shared_dir
+from tessera.llm.common import bound_batches, materialize, shared_dir, tidy
 from tessera.llm.warc import _store
 from tessera.llm.words import U, mix
 
@@ -85,6 +85,18 @@ def _tokens(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield _byte_tokens(x) if width == 1 else np.frombuffer(x, f"<u{width}")
 
 
+def _packer(spec, width: int, end: int):
+    """(doc, text): each text's ids and ``end``, in ``width`` bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = bpe.codec(spec.value)
+        for b in batches:
+            ids = [np.fromstring(f"{x} {end}", np.int64, sep=" ").astype(f"<u{width}").tobytes() for part in bpe.text_runs(b.column(1).to_pylist()) for x in codec.encode(part)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc", "text"])
+
+    return run
+
+
 def _packed(slot: np.ndarray, entry: np.ndarray, data: np.ndarray, zstd) -> bytes:
     return zstd.compress(b"".join([slot.astype("<i8").tobytes(), entry.tobytes(), data.tobytes()]))
 
@@ -184,16 +196,11 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     width, pad = 1, PAD
     n_tokens = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
     if vocabulary is not None:
-        ids = bpe.encoded(docs, id_col, text_col, vocabulary, with_ids=True).select(F.col("id").alias("doc"), "ids")
-        most = max(json.loads(bpe.vocabulary_file(vocabulary))["model"]["vocab"].values()) + 4
+        spec = bpe.vocabulary_file(vocabulary)
+        most = max(json.loads(spec)["model"]["vocab"].values()) + 4
         width = 2 if most < 1 << 16 else 4
         pad = (1 << 8 * width) - 1
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array([*x, pad - 1], f"<u{width}").tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["doc", "text"])
-
-        rows = materialize(ids.mapInArrow(pack, "doc long, text binary"))
+        rows = materialize(rows.mapInArrow(tidy("bpe", _packer(spark.sparkContext.broadcast(spec), width, pad - 1)), "doc long, text binary"))
         n_tokens = F.octet_length("text") / width
     elif "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = materialize(rows)  # what a shuffle deals out may be dealt otherwise the second time
@@ -210,9 +217,9 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     fs.create_dir(path, recursive=True)
     meta = {"sequences": total, "length": length, "width": width, "per_shard": per_shard, "shards": shards, "key": key, "pad": pad}
     if total:
-        parts = rows.mapInArrow(_slots(length, width, pad, spark.sparkContext.broadcast(offsets), Permutation(total, key), per_shard), "shard long, n long, data binary")
+        parts = rows.mapInArrow(tidy("shards", _slots(length, width, pad, spark.sparkContext.broadcast(offsets), Permutation(total, key), per_shard)), "shard long, n long, data binary")
         placed = parts.repartition(shards, "shard").sortWithinPartitions("shard")
-        written = placed.mapInArrow(_write(folder, total, length, width, per_shard), "count long").agg(F.sum("count")).first()[0]
+        written = placed.mapInArrow(tidy("shards", _write(folder, total, length, width, per_shard)), "count long").agg(F.sum("count")).first()[0]
         if written != total:
             raise RuntimeError(f"{written} of {total} sequences were written")
     with fs.open_output_stream(f"{path}/meta.json") as out:
