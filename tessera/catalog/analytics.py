@@ -250,8 +250,8 @@ def expected_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("risk_weights")
 def risk_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = wide(spark, sf_dir).where(F.col("asset_id") <= "00000009")
-    names, c = P.covariance(few)
+    names, c = P.covariance(wide(spark, sf_dir))
+    c = P.definite(c)
     h, p = P.hierarchical_parity(c), P.risk_parity(c)
     return spark.createDataFrame([(n, float(a), float(b)) for n, a, b in zip(names, h, p, strict=True)], "asset_id string, hierarchical double, parity double")
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.catalog.base import QUERIES
 from tessera.operators import inference as I
 from tessera.operators import library as L
 from tessera.operators import metrics as M
@@ -120,6 +121,29 @@ def test_portfolio_weights():
     assert P.crowding(0.7, 0.4, True)[0] == "crowded"
 
 
+def test_risk_weights_of_all_assets(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 25)) * rng.uniform(0.1, 3, (60, 1))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[3, 1:] = np.nan
+    df = spark.createDataFrame([(f"a{i:02}", t, None if np.isnan(v) else float(v)) for i, row in enumerate(x) for t, v in enumerate(row)], "asset_id string, t_idx int, returns double")
+    monkeypatch.setattr(P, "PAIR_ASSETS", 7)
+    names, c = P.covariance(df)
+    assert names == [f"a{i:02}" for i in range(60) if (~np.isnan(x[i])).any()]
+    x = x[[int(a[1:]) for a in names]]
+    for i in range(len(x)):
+        for j in range(len(x)):
+            both = ~np.isnan(x[i] + x[j])
+            want = np.cov(x[i, both], x[j, both])[0, 1] if both.sum() > 1 else 0.0
+            assert c[i, j] == pytest.approx(want, abs=1e-9)
+    good = P.definite(c)
+    w, h = P.risk_parity(good), P.hierarchical_parity(good)
+    own = w * (good @ w)
+    assert np.linalg.eigvalsh(c)[0] < 0 and np.allclose(own, own.mean(), rtol=1e-6) and (w > 0).all() and (h > 0).all() and h.sum() == pytest.approx(1)
+    rows = QUERIES["risk_weights"](spark, "/root/testdata/sf0.01").collect()
+    assert len({r.asset_id for r in rows}) == len(rows) == 100 and sum(r.parity for r in rows) == pytest.approx(1)
+
+
 def test_components_and_retrieval(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 10)], "a long, b long")
     assert {(r.node, r.root) for r in V.connected(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (9, 9), (10, 9)}
