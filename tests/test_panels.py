@@ -144,6 +144,29 @@ def test_risk_weights_of_all_assets(spark, monkeypatch):
     assert len({r.asset_id for r in rows}) == len(rows) == 100 and sum(r.parity for r in rows) == pytest.approx(1)
 
 
+def test_whole_graphs(spark, tmp_path):
+    rows = [(s, p) for s in range(0, 40, 2) for p in (s * 5, s * 5 + 97, s * 5 + 194)] + [(1, 1), (1, 98), (3, 98), (3, 7), (5, 7), (5, 300), (8, 1), (None, 1), (1, None)]
+    spark.createDataFrame([(*r, 1.0, 0.0) for r in rows], "l_suppkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = {}
+    for s, p in rows:
+        if s is not None and p is not None:
+            near.setdefault(s, set()).add((1 << 40) + p)
+            near.setdefault((1 << 40) + p, set()).add(s)
+
+    def reach(start):
+        hop, edge, k = {start: 0}, {start}, 0
+        while edge:
+            k += 1
+            edge = {y for x in edge for y in near[x]} - hop.keys()
+            hop.update(dict.fromkeys(edge, k))
+        return hop
+
+    got = {r.node: r.root for r in QUERIES["graph_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {x: min(reach(x)) for x in near} and len(set(got.values())) > 5
+    got = {r.node: r.hop for r in QUERIES["graph_neighbours_whole"](spark, str(tmp_path)).collect()}
+    assert got == {x: h for x, h in reach((1 << 40) + 1).items() if h <= 2} and max(got.values()) == 2
+
+
 def test_components_and_retrieval(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 10)], "a long, b long")
     assert {(r.node, r.root) for r in V.connected(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (9, 9), (10, 9)}
