@@ -77,8 +77,8 @@ def _placer(shared, scale: int, width: int):
 def needed(pivots: np.ndarray, cells: dict[int, tuple[int, float]], queries: dict[int, float], k: int, own: int = 1) -> dict[int, list[int]]:
     """For each query cell the data cells that may hold one of its k best.
 
-    cells: size and radius of each data cell; queries: radius of each query cell. ``own``
-    vectors may be the query itself, so k + own must be sure.
+    cells: rows and radius of each data cell; queries: radius of each query cell. ``own``
+    rows may have the query's id, so k + own must be sure.
     """
     out = {}
     names = sorted(cells)
@@ -159,7 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     Queries are the rows for which the column ``is_query`` holds. Vectors that are null or
     hold a null, infinite or NaN component take no part, nor do rows with a null id. A
     shorter vector counts as filled with zeros; an empty one scores 0 with all. Rows with
-    one id are one query, and never candidates of it; equal rows are one candidate. Components beyond
+    one id are one query, and never candidates of it; repeated rows are ranked one by one. Components beyond
     2^23 in size after scaling are held at that.
     """
     spark = vectors.sparkSession
@@ -180,7 +180,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     # at most one row for each pivot
     summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"), F.max(F.when(F.col("query"), F.col("r"))).alias("u"), F.count(F.when(F.col("query"), 1)).alias("q")).collect()
-    plan = needed(pivots, {s.cell: (s.n, s.r) for s in summary}, {s.cell: s.u for s in summary if s.q}, k)
+    # candidates are rows, and a query's own are all rows of its id
+    own = placed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("query").alias("q")).where("q").agg(F.max("n")).first()[0]
+    plan = needed(pivots, {s.cell: (s.n, s.r) for s in summary}, {s.cell: s.u for s in summary if s.q}, k, own or 1)
     chunk = {s.cell: max(1, -(-s.n // BLOCK_ROWS)) for s in summary}
     groups = {s.cell: max(1, -(-s.q // QUERY_ROWS)) for s in summary if s.q}
     # which (query cell, part) meets which (data cell, part): sent to data and queries as small tables by cell
@@ -213,5 +215,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     asked = placed.where("query").join(query_to, "cell").select(F.col("id").alias("qid"), F.col("v").alias("qv"), "block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("groups")).cast("int").alias("part"))
     met = asked.groupBy("block", "part").cogroup(data.join(F.broadcast(every), "block").select(F.col("id").alias("did"), F.col("v").alias("dv"), F.col("block").alias("dblock"), F.col("part").alias("dpart")).groupBy("dblock", "dpart")).applyInArrow(_local(k, width), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # a query row and a data row meet once, so repeats of a row come out as often as they are there
+    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -265,6 +265,18 @@ def test_exact_top_k(spark, monkeypatch):
     assert knn.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0 and knn.top_k(df, F.lit(False)).count() == 0
 
 
+def test_top_k_ranks_repeated_rows(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), rng.normal(size=4).tolist()) for i in range(300)]
+    rows += [(7, [9.0] * 4)] * 12 + [(100, [3.0] * 4)] * 40 + [(200, (-np.array(rows[200][1])).tolist())] * 3
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = sorted(duckdb.sql(ORACLE_SQL["op5_voronoi_knn"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall())
+    for block in (20_000, 25):
+        monkeypatch.setattr(knn, "BLOCK_ROWS", block)
+        got = sorted(tuple(r) for r in QUERIES["op5_voronoi_knn"](spark, str(tmp_path)).collect())
+        assert got == want and len(got) == 30
+
+
 def test_token_shards(spark, docs, monkeypatch):
     monkeypatch.setattr("tessera.llm.token_shards.SHARD_BYTES", 1 << 14)
     folder = write_shards(docs, length=64)
