@@ -30,8 +30,8 @@ PIVOTS = 128
 BLOCK_ROWS = 20_000
 #: Queries of a group that are scored together.
 QUERY_ROWS = 4_000
-#: Components are held within this size, so that sums of 64k products fit 64 bits.
-MOST = 1 << 23
+#: Components and scores are 64-bit integers; what doesn't fit is an error.
+MOST = 1 << 63
 
 
 def _integers(column: pa.Array, scale: int, width: int) -> np.ndarray:
@@ -42,16 +42,32 @@ def _integers(column: pa.Array, scale: int, width: int) -> np.ndarray:
     if len(flat):
         row = np.repeat(np.arange(len(column)), lengths)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[row, place] = np.clip(np.floor(flat * scale), -MOST, MOST).astype(np.int64)
+        whole = np.floor(flat * scale)
+        if not ((whole >= -MOST) & (whole < MOST)).all():
+            raise OverflowError("a scaled component doesn't fit 64 bits")
+        out[row, place] = whole.astype(np.int64)
     return out
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products of all rows; by floating point where that is exact."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
+def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Products of all rows, and None if they are exact integers; else a bound on each row's errors.
+
+    Floating point is used where it is exact, 64-bit integers where sums fit.
+    """
+    width = max(a.shape[1], 1)
+    f, g = a.astype(np.float64), b.astype(np.float64)
+    top = float(np.abs(f).max(initial=0)) * float(np.abs(g).max(initial=0)) * width
     if top < 2**52:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+        return (f @ g.T).astype(np.int64), None
+    if top < 2**62:
+        return a @ b.T, None
+    return f @ g.T, np.abs(f).sum(1) * np.abs(g).max(initial=0) * ((width + 4) * 2.0**-52)
+
+
+def _settled(q: np.ndarray, x: np.ndarray, at: np.ndarray) -> list[int]:
+    """Exact products of ``q`` with the rows ``at`` of ``x``, in Python's integers."""
+    own = q.tolist()
+    return [sum(map(int.__mul__, own, v)) for v in x[at].tolist()]
 
 
 def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +108,7 @@ def needed(pivots: np.ndarray, cells: dict[int, tuple[int, float]], queries: dic
         # any q of the cell, any x of a data cell: |q.x - centre.p| <= |q| r + u |p|
         middle = p @ centre
         slack = length * radius + u * norm
-        margin = 1 + 1e-9 * (np.abs(middle) + slack)
+        margin = 1 + 1e-9 * (np.abs(middle) + slack + length * norm)
         low, high = middle - slack - margin, middle + slack + margin
         order = np.argsort(-low)
         sure = np.searchsorted(np.cumsum(size[order]), k + own)
@@ -139,15 +155,23 @@ def _local(k: int, width: int):
         x, xid = x[order], xid[order]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(q), 512):
-            s = _exact(q[at : at + 512], x)
+            s, error = _exact(q[at : at + 512], x)
             for i, row in enumerate(s):
                 own = qid[at + i]
                 take = min(len(row), k + int((xid == own).sum()))
                 floor = np.partition(row, len(row) - take)[len(row) - take]
-                best = np.flatnonzero(row >= floor)
+                best = np.flatnonzero(row >= (floor if error is None else floor - 2 * error[i]))
                 best = best[xid[best] != own]
-                best = best[np.lexsort((xid[best], -row[best]))][:k]
-                out.append((np.full(len(best), own), xid[best], row[best]))
+                if error is None:
+                    best = best[np.lexsort((xid[best], -row[best]))][:k]
+                    score = row[best]
+                else:
+                    exact = sorted((-p, j) for p, j in zip(_settled(q[at + i], x, best), best.tolist(), strict=True))[:k]  # data are in order of ids
+                    if any(not -MOST <= -p < MOST for p, _ in exact):
+                        raise OverflowError(f"a score of query {own} doesn't fit 64 bits")
+                    best = np.array([j for _, j in exact], np.int64)
+                    score = np.array([-p for p, _ in exact], np.int64)
+                out.append((np.full(len(best), own), xid[best], score))
         return pa.table({n: pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i, n in enumerate(names)})
 
     return run
@@ -159,8 +183,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     Queries are the rows for which the column ``is_query`` holds. Vectors that are null or
     hold a null, infinite or NaN component take no part, nor do rows with a null id. A
     shorter vector counts as filled with zeros; an empty one scores 0 with all. Rows with
-    one id are one query, and never candidates of it; repeated rows are ranked one by one. Components beyond
-    2^23 in size after scaling are held at that.
+    one id are one query, and never candidates of it; repeated rows are ranked one by one. Components
+    or answers' scores beyond 64 bits are an error.
     """
     spark = vectors.sparkSession
     v = F.col(f"`{vector_col}`")

@@ -10,6 +10,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,29 @@ def test_top_k_ranks_repeated_rows(spark, monkeypatch, tmp_path):
         assert got == want and len(got) == 30
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    for size, scale in ((1e5, 1024), (3.0, 1 << 31), (1.4e9, 1)):
+        rows = [(int(i), (rng.normal(size=4) * size * (1e-3 if i % 3 else 0.6)).tolist()) for i in range(200)]
+        if scale == 1 << 31:  # sums beyond 63 bits with answers within
+            rows += [(300 + i, [1.0 + i * 2.0**-31, -1.0, 1.0, 3.9]) for i in range(12)] + [(400, [2.0, 2.0, -2.0, 0.25])]
+        good = {i: [int(np.floor(x * scale)) for x in v] for i, v in rows}
+        want = set()
+        for q in (i for i in good if i % 100 == 0):
+            best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:10]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+        if any(abs(s) >= 1 << 63 for *_, s in want):
+            with pytest.raises(Exception, match="fit 64 bits"):
+                knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, scale=scale).collect()
+        else:
+            assert {tuple(r) for r in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, scale=scale).collect()} == want
+    q, x = np.array([[1 << 40, 1 << 40, 3]]), np.array([[1 << 40, -(1 << 40), j] for j in range(30)])
+    ids = pa.array(range(30), pa.int64())
+    data = pa.table({"id": ids, "v": pa.array([v.astype(np.int64).tobytes() for v in x], pa.binary())})
+    got = knn._local(5, 3)((), pa.table({"id": pa.array([99]), "v": pa.array([q[0].astype(np.int64).tobytes()], pa.binary())}), data)
+    assert got.column("score").to_pylist() == [3 * j for j in (29, 28, 27, 26, 25)] and got.column("vec_id").to_pylist() == [29, 28, 27, 26, 25]
+
+
 def test_token_shards(spark, docs, monkeypatch):
     monkeypatch.setattr("tessera.llm.token_shards.SHARD_BYTES", 1 << 14)
     folder = write_shards(docs, length=64)
