@@ -15,6 +15,7 @@ article's; pages are then read against their host's slots.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -143,10 +144,7 @@ def stream(found: list[tuple[tuple[str, ...], str]]) -> list:
 
 
 def hash_of(text: str) -> int:
-    h = 1469598103934665603
-    for b in text[:64].encode():
-        h = (h ^ b) * 1099511628211 & 0x7FFFFFFFFFFF
-    return h ^ len(text)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()) & 0x7FFFFFFFFFFF
 
 
 def align(a: list, b: list) -> list:

@@ -249,6 +249,13 @@ def test_wrappers_fold_repeats_and_mark_options():
     assert main_slots(stream([])) == []
 
 
+def test_wrappers_see_changes_late_in_a_text():
+    same = "word " * 20
+    pages = [stream(list(blocks(f"<html><body><p>{same}{x}</p><div>{same}</div></body></html>"))) for x in ("abc", "xyz")]
+    flags = {n[0]: n[1] for n in align(*pages)[5][0][5][0][5]}
+    assert flags["p"] & 4 and not flags["div"] & 4
+
+
 def test_exact_top_k(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(int(i), rng.normal(size=6).astype(np.float32).tolist()) for i in range(400)]
