@@ -80,20 +80,35 @@ class Postings:
         return starts
 
     def within(self, terms: Sequence[int], span: int) -> np.ndarray:
-        """Positions of the rarest term from which each other term is found within ``span`` words, in one document."""
+        """Positions of the rarest term that lie in a run of ``span`` words of one document with all the terms."""
+        return np.unique(self.spans(terms, span)[2])
+
+    def spans(self, terms: Sequence[int], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of at most ``span`` words of one document that hold all the terms: begin, end, and a position of the rarest term."""
         by_rarity = sorted(set(terms), key=self.df)
         near = self.of(by_rarity[0])
-        doc = np.searchsorted(self.first, near, "right")
-        for t in by_rarity[1:]:
-            other = self.of(t)
+        doc = np.searchsorted(self.first, near, "right") - 1
+        rest = [self.of(t) for t in by_rarity[1:]]
+        for other in rest:  # what is far from any one term is far from all
             if not len(near) or not len(other):
-                return near[:0]
+                return near[:0], near[:0], near[:0]
             i = np.searchsorted(other, near)
             ok = np.zeros(len(near), bool)
             for j in (np.maximum(i - 1, 0), np.minimum(i, len(other) - 1)):
-                ok |= (np.abs(other[j] - near) < span) & (np.searchsorted(self.first, other[j], "right") == doc)
+                ok |= np.abs(other[j] - near) < span
             near, doc = near[ok], doc[ok]
-        return near
+        begins, ends, at = [near[:0]], [near[:0]], [near[:0]]
+        for back in range(span):
+            begin = np.maximum(near - back, self.first[doc])
+            end = np.minimum(near - back + span, self.first[doc] + self.counts[doc])
+            ok = np.ones(len(near), bool)
+            for other in rest:
+                i = np.searchsorted(other, begin)
+                ok &= (i < len(other)) & (other[np.minimum(i, len(other) - 1)] < end)
+            begins.append(begin[ok])
+            ends.append(end[ok])
+            at.append(near[ok])
+        return np.concatenate(begins), np.concatenate(ends), np.concatenate(at)
 
 
 @dataclass
@@ -122,17 +137,29 @@ class Queries:
         return cls(terms, list(by_window), [list(v) for v in by_window.values()], matrix)
 
 
-def _search(queries: Queries, texts: Sequence[bytes | None]) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
+def _search(queries: Queries, texts: Sequence[bytes | None], span: int | None = None) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
     """Words, hit positions and items of each text."""
     index = Postings(texts, queries.terms)
     edge = np.zeros(int(np.sum(index.counts)) + len(texts) + 1, np.int32)
     items: list[dict[str, None]] = [{} for _ in texts]
     for i in np.flatnonzero(index.hold_all(queries.matrix)).tolist():
         w = queries.windows[i]
-        starts = index.phrase(w)
-        if len(starts):
+        if span is not None:
+            starts, ends, _ = index.spans(w, span)
+            if len(starts):
+                order = np.argsort(starts, kind="stable")
+                begins, reach = starts[order], np.maximum.accumulate(ends[order])
+                for t in set(w):
+                    at = index.of(t)
+                    k = np.searchsorted(begins, at, "right") - 1
+                    at = at[(k >= 0) & (at < reach[k])]
+                    edge[at] += 1
+                    edge[at + 1] -= 1
+        else:
+            starts = index.phrase(w)
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + len(w), -1)
+        if len(starts):
             for d in np.unique(np.searchsorted(index.first, starts, "right") - 1).tolist():
                 items[d].update(dict.fromkeys(queries.items[i]))
     hit = np.cumsum(edge[:-1]) > 0
@@ -145,7 +172,7 @@ def _united(old: bytes | None, new: np.ndarray) -> bytes | None:
     return new.astype("<u4").tobytes() if len(new) else None
 
 
-def _searcher(block):
+def _searcher(block, span: int | None = None):
     """A pass over (__id, __text, n_words, hits, items, ...): adds what a block of queries finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +181,7 @@ def _searcher(block):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in chunks(texts, SEGMENT_BYTES):
                 part = batch.slice(a, b - a)
-                counts, hits, items = _search(queries, texts[a:b])
+                counts, hits, items = _search(queries, texts[a:b], span)
                 hits = [_united(x, y) for x, y in zip(part.column(3).to_pylist(), hits, strict=True)]
                 items = [sorted({*(x or ()), *y}) for x, y in zip(part.column(4).to_pylist(), items, strict=True)]
                 own = [pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
@@ -178,12 +205,15 @@ def query_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int
     return out
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, carry: bool = False) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, carry: bool = False, span: int | None = None) -> DataFrame:
     """Per row of ``docs``: ``__id``, ``n_words``, ``hits`` (positions as packed uint32, null if none), ``items`` and, with carry, ``__text`` and ``__row``.
 
     A document word is hit if it lies inside an occurrence of a window of an item: ``window``
     consecutive words, or all of an item that has fewer. Items without words have none. Null
     texts have no words; a null item id is named ''; rows with equal ids stay apart.
+
+    With ``span`` the words of a window may come in any order, among others: hit are those
+    that lie in a run of ``span`` words of the document that holds all of the window's.
     """
     spark = docs.sparkSession
     found = carried(docs, id_col, text_col, carry).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")})
@@ -191,7 +221,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     kind = T.StructType([T.StructField(f.name, f.dataType) for f in found.schema])
     blocks = query_blocks(benchmark, item_col, item_text_col, window)
     for i, block in enumerate(blocks):
-        found = found.mapInArrow(tidy("decontaminate", _searcher(spark.sparkContext.broadcast(block))), kind)
+        found = found.mapInArrow(tidy("decontaminate", _searcher(spark.sparkContext.broadcast(block), span)), kind)
         if i + 1 < len(blocks):
             found = materialize(found)  # so that one block at a time is held by the executors
     return found if carry else found.drop("__text")

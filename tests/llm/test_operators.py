@@ -197,6 +197,23 @@ def test_proximity():
     assert docs_of(index.within([a, b], 3)) == [0, 1] and docs_of(index.phrase([a, b])) == [1]
 
 
+def test_overlaps_by_proximity(spark):
+    rng = random.Random(3)
+    texts = ["b y y a y y c", "c a b", "", None, "a b y y y y", "c c a", "a y b y c"] + [" ".join(rng.choice("abcxyz") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    items = [("i", "a b c"), ("j", "x y"), ("k", "q a")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["__id"]: (set(np.frombuffer(r.hits or b"", "<u4").tolist()), set(r["items"])) for r in overlaps(docs, spark.createDataFrame(items, "item_id string, text string"), span=5).collect()}
+    for d, t in enumerate(texts):
+        ws, hits, found = (t or "").split(), set(), set()
+        for name, terms in ((n, set(x.split())) for n, x in items):
+            for s in range(len(ws)):
+                if terms <= set(ws[s : s + 5]):
+                    found.add(name)
+                    hits |= {p for p in range(s, min(s + 5, len(ws))) if ws[p] in terms}
+        assert got[d] == (hits, found), (d, t)
+    assert got[0] == (set(), set()) and got[1][1] == {"i"}
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(3, "http://a/1", "<p>x</p>"), (1, "http://a/2", "<p>x</p>"), (2, None, None), (7, "u", ""), (5, "http://é/", "é" * 50_000), (9, "bad\nurl", "y\r\n\r\nWARC/1.1"), (1, "http://a/2", "<p>x</p>"), (None, "n", "<p>x</p>")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, sha int")
