@@ -33,8 +33,6 @@ DRIFT = 1.0
 #: A segment is significant if fewer are expected in clean text of this length.
 MOST_EXPECTED = 0.5
 BINS, BIN = 400, 0.25
-#: Most units in a model; the most significant ones stay. It bounds what is broadcast.
-MOST_UNITS = 200_000
 
 
 def units(w: Words) -> list[np.ndarray]:
@@ -146,10 +144,11 @@ def fit(rows: DataFrame) -> Model:
     a, b = F.col("t") + p, F.col("c") + p
     odds = F.log(a / (toxic_n + prior - a)) - F.log(b / (clean_n + prior - b))
     kept = counts.where((F.col("t") >= LEAST_DOCS) & (F.col("t") + F.col("c") < n)).select("u", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where(f"z >= {LEAST_Z} AND odds >= {LEAST_ODDS}")
-    table = kept.orderBy(F.desc("z"), "u").limit(MOST_UNITS).toPandas()
-    h = table["u"].to_numpy(np.int64).view(U)
+    # all of them: their number is bounded by the teaching rows, LEAST_DOCS of which hold each unit
+    table = kept.select("u", "odds").toArrow()
+    h = table.column("u").to_numpy().astype(np.int64).view(U)
     order = np.argsort(h)
-    model = Model(h[order], table["odds"].to_numpy(float)[order])
+    model = Model(h[order], table.column("odds").to_numpy().astype(float)[order])
     if not len(h):
         return blank
     _calibrate(model, rows, clean_n)

@@ -389,6 +389,15 @@ def test_classifiers_on_held_out_rows(spark):
     assert kept.columns == docs.columns and 380 <= kept.count() <= 404
 
 
+def test_toxic_units_are_all_kept(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_UNITS", 5, raising=False)
+    bad = [f"{a}{b}{a}" for a in "bcdfgh" for b in "aeiou"]
+    rows = [(i, " ".join(bad) if i % 4 == 0 else "good words only", float(i % 4 == 0)) for i in range(80)]
+    model = toxicity.fit(spark.createDataFrame(rows, "__id long, __text string, y double"))
+    assert len(model.hashes) == 4 * len(bad) and (model.odds >= toxicity.LEAST_ODDS).all()
+    assert (model.token_scores(find_words([" ".join(bad).encode()], PUNCT, lower=True)) > 0).all()
+
+
 def test_maximal_segments_against_all_spans():
     for _ in range(200):
         n = random.randint(1, 12)
