@@ -13,6 +13,7 @@ edge of another kind, taken from the node of all symbols before it.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -36,8 +37,8 @@ _LATIN = re.compile(f"[\x00-\x7f{_LETTERS}]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
 #: Words, pieces of words and pairs of tokens that a worker's memos keep, each in two generations of this size.
 MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 60_000, 60_000, 150_000
-#: Number of tokens, decimal ids and names, each joined by one space.
-Found = tuple[int, str, str]
+#: Number of tokens, and their decimal ids joined by one space.
+Found = tuple[int, str]
 
 
 def _byte_symbols() -> list[str]:
@@ -58,6 +59,9 @@ class Vocabulary:
     inner: dict[str, int] = field(default_factory=dict)
     final: dict[str, int] = field(default_factory=dict)
     _apart: dict[int, bool] = field(default_factory=dict)
+    #: Of each token the rank of the merge that makes it (-1: none), and the tokens that it merges.
+    _made: dict[int, tuple[int, int, int]] = field(default_factory=dict)
+    _joins: dict[tuple[int, int], int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         made = {a + b for a, b in self.ranks}
@@ -69,14 +73,24 @@ class Vocabulary:
             if len(plain) > 1 and token not in made or self.merged(self.symbols(plain, last)) != [token]:
                 continue  # no encoding can end in it
             (self.final if last else self.inner)[plain] = i
+        for (a, b), rank in self.ranks.items():
+            if a in self.ids and b in self.ids:
+                self._joins[self.ids[a], self.ids[b]] = rank
+        for tokens, last in ((self.inner, False), (self.final, True)):
+            for plain, i in tokens.items():
+                step = self.merged(self.symbols(plain, last), 2) if len(plain) > 1 else ()
+                if len(step) == 2 and all(x in self.ids for x in step):
+                    self._made[i] = self.ranks[step[0], step[1]], self.ids[step[0]], self.ids[step[1]]
+                else:
+                    self._made[i] = -1, i, i
 
     def symbols(self, plain: str, last: bool) -> list[str]:
         return [*plain[:-1], plain[-1] + self.suffix] if last and self.suffix else list(plain)
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """Merges by rank, leftmost first: the definition, used on pairs of tokens only."""
+    def merged(self, parts: list[str], least: int = 1) -> list[str]:
+        """Merges by rank, leftmost first, down to ``least`` parts: the definition, used on tokens only."""
         parts = list(parts)
-        while len(parts) > 1:
+        while len(parts) > least:
             rank, i = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == 1 << 60:
                 break
@@ -84,14 +98,34 @@ class Vocabulary:
         return parts
 
     def stay_apart(self, left: int, right: int) -> bool:
-        """Whether two tokens in a row are the encoding of their text."""
+        """Whether two tokens in a row are the encoding of their text.
+
+        They aren't if a merge across their border comes before a merge inside either of them that would hide one of
+        its sides. So the steps that made both are undone from the latest on, which bares the tokens at the border one
+        by one, and each pair of neighbours there is asked whether it merges earlier than what hides it.
+        """
         if len(self._apart) > MEMO_PAIRS:
             self._apart.clear()
-        a, b = self.names[left], self.names[right]
-        last = b.endswith(self.suffix) and len(b) > len(self.suffix)
-        text = a + (b[: -len(self.suffix)] if last else b)
-        known = self._apart[left << 32 | right] = self.merged(self.symbols(text, last)) == [a, b]
-        return known
+        made, joins = self._made, self._joins
+        a, b = left, right
+        # the merge that hides a, and that which hides b: what merges at the border has to come before both
+        over_a = over_b = 1 << 60
+        apart = True
+        while True:
+            rank = joins.get((a, b))
+            # a merge of equal rank goes from left to right: the one inside the left token comes first, that inside the right one after
+            if rank is not None and rank < over_a and rank <= over_b:
+                apart = False
+                break
+            x, y = made[a], made[b]
+            if x[0] < 0 and y[0] < 0:
+                break
+            if x[0] > y[0] or x[0] == y[0] and y[0] < 0:
+                over_a, a = x[0], x[2]
+            else:
+                over_b, b = y[0], y[1]
+        self._apart[left << 32 | right] = apart
+        return apart
 
     def encode_all(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each distinct word with its token ids. Sorted words are the trie's leaves in depth-first order.
@@ -152,6 +186,7 @@ class Codec:
         self._rules = Tokenizer.from_str(spec)  # its normaliser and splitter, for words of other letters
         self._bytes = _byte_symbols()
         self._names = {**self.vocabulary.names, **{i: s for s, i in self.special.items()}}
+        self._by_decimal = {str(i): n for i, n in self._names.items()}
         # what is asked for again moves from the old generation to the young one; a full young one becomes the old
         self._memo: dict[str, Found] = {}
         self._old_memo: dict[str, Found] = {}
@@ -178,21 +213,21 @@ class Codec:
         split = [(w, self._split(w)) for w in words]
         if len(self._pieces) > MEMO_PIECES:
             self._pieces, self._old_pieces = {}, self._pieces
-        known, old, names = self._pieces, self._old_pieces, self._names
+        known, old = self._pieces, self._old_pieces
         for s, i in self.special.items():
-            known[s] = 1, str(i), s
+            known[s] = 1, str(i)
         new = {p for _, ps in split for p in ps if p not in known}
         again = new & old.keys()
         known.update((p, old[p]) for p in again)
         new -= again
         for p, ids in self.vocabulary.encode_all(new):
-            known[p] = (1, str(ids[0]), names[ids[0]]) if len(ids) == 1 else (len(ids), " ".join([str(i) for i in ids]), " ".join([names[i] for i in ids]))
+            known[p] = (1, str(ids[0])) if len(ids) == 1 else (len(ids), " ".join([str(i) for i in ids]))
         for w, ps in split:
             if len(ps) == 1:
                 self._memo[w] = known[ps[0]]
             else:
                 found = [known[p] for p in ps]
-                self._memo[w] = sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+                self._memo[w] = sum([x[0] for x in found]), " ".join([x[1] for x in found])
 
     def words(self, text: str) -> list[str]:
         return text.split() if not _ODD.search(text) else [w for w in _SPLIT.split(text) if w]
@@ -207,7 +242,11 @@ class Codec:
         memo.update((w, old[w]) for w in again)
         new -= again
         if new:
-            self._learn(new)
+            gc.disable()  # strings and pairs of them make no cycles
+            try:
+                self._learn(new)
+            finally:
+                gc.enable()
         return split
 
     def encode(self, texts: list[str]) -> list[str]:
@@ -219,18 +258,21 @@ class Codec:
         """Token strings joined by one space, as the vocabulary's file has no decoder; unknown ids are left out."""
         return " ".join(n for i in ids if (n := self._names.get(i)) is not None)
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of tokens, and SHA-256 of the ids and of the decoded text.
+    def decode_decimals(self, ids: str) -> str:
+        """The same of decimal ids that are joined by one space."""
+        if not ids:
+            return ""
+        name = self._by_decimal.get
+        return " ".join([n for i in ids.split(" ") if (n := name(i)) is not None])
 
-        A word's ids decode to the same strings wherever it stands, so decoding a word once decodes it everywhere.
-        """
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of tokens, and SHA-256 of the ids and of the text that these ids decode to."""
         split = self._known(texts)
         out, memo = [], self._memo
         for ws in split:
             found = [x for w in ws if (x := memo[w])[0]]
             ids = " ".join([x[1] for x in found])
-            names = " ".join([x[2] for x in found])
-            out.append((sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(names.encode()).hexdigest()))
+            out.append((sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(self.decode_decimals(ids).encode()).hexdigest()))
         return out
 
 
