@@ -31,10 +31,11 @@ def scaled_parts(df: DataFrame, bytes_each: int = BLOCK_BYTES, most: int = 1 <<
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one is made only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset it is one of this machine in local mode, and the warehouse's on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -47,6 +48,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df``, or a written copy of it where a shuffle may deal its rows otherwise when a task runs again."""
+    return materialize(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def carried(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
     """``df`` as (``__id``, ``__text``, ``__row``): the whole row rides along in a struct, so no name can clash."""
     bound_batches(df.sparkSession)

@@ -55,7 +55,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = judged(overlaps(docs, _table(spark, sf_dir, "benchmark")))
-    return found.select(F.col("__id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm import knn, quality, toxicity, warc
 from tessera.llm.bpe import Codec, encoded, vocabulary_file
 from tessera.llm.components import connected
-from tessera.llm.decontaminate import Postings, judged, overlaps, without_contaminated
+from tessera.llm.decontaminate import Postings, judged, overlaps, packed, search, unpacked, without_contaminated, write_index
 from tessera.llm.html_wrapper import align, blocks, main_slots, main_text, stream
 from tessera.llm.labelled import held_out_id, isotonic
 from tessera.llm.minhash import band_rows, near_duplicates, without_near_duplicates
@@ -179,30 +179,50 @@ def test_decontamination(spark, docs, monkeypatch):
                     names |= wins[tuple(ws[p : p + n])]
         want.append((i, len(ws), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)))
     key = lambda r: tuple(str(x) for x in r)
-    for words in (400_000, 20):  # one block of queries, and several
-        monkeypatch.setattr("tessera.llm.decontaminate.BLOCK_WORDS", words)
-        got = judged(overlaps(docs, bench)).select("__id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    for windows in (50_000, 20):  # one block of windows, and several
+        monkeypatch.setattr("tessera.llm.decontaminate.BLOCK_WINDOWS", windows)
+        got = judged(overlaps(docs, bench)).select("id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
         assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    kept = without_contaminated(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(not r[5] for r in want)
-    assert judged(overlaps(docs.limit(0), bench)).count() == 0 and overlaps(docs, bench.limit(0)).where("hits IS NOT NULL").count() == 0
+    for share, drops in ((0.0, lambda r: r[2] > 0), (0.05, lambda r: r[5])):
+        kept = without_contaminated(docs, bench, share=share)
+        assert kept.columns == docs.columns and kept.count() == sum(not drops(r) for r in want)
+    monkeypatch.setattr("tessera.llm.decontaminate.SMALL_DOCS", 0)
+    monkeypatch.setattr("tessera.llm.decontaminate.SMALL_TERMS", 0)
+    assert without_contaminated(docs, bench).count() == sum(not r[2] for r in want)
+    assert judged(overlaps(docs.limit(0), bench)).count() == 0 and overlaps(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
 def test_proximity():
-    texts = [b"a x b", b"a b", b"b y y y y a", b"a"]
-    terms = np.unique(find_words([b"a b"], PUNCT).hashes())
-    a, b = (int(np.searchsorted(terms, find_words([w], PUNCT).hashes()[0])) for w in (b"a", b"b"))
-    index = Postings(texts, terms)
+    index = Postings.of_texts([b"a x b", b"a b", b"b y y y y a", b"a"])
+    a, b = (int(index.number(find_words([w], PUNCT).hashes().view(np.int64))[0]) for w in (b"a", b"b"))
     docs_of = lambda at: sorted(set((np.searchsorted(index.first, at, "right") - 1).tolist()))
     assert docs_of(index.within([a, b], 3)) == [0, 1] and docs_of(index.phrase([a, b])) == [1]
 
 
+def test_packed_lists():
+    rng = np.random.default_rng(2)
+    lists = [np.sort(rng.choice(1 << k, n, replace=False)) for k, n in ((4, 3), (27, 50), (10, 1), (21, 400), (28, 2))]
+    sizes = np.array([len(x) for x in lists])
+    got = packed(np.concatenate(lists), np.concatenate(([0], np.cumsum(sizes))))
+    assert len(got) == len(lists) and (unpacked(got.to_pylist(), sizes) == np.concatenate(lists)).all()
+    assert len(packed(np.zeros(0, np.int64), np.array([0]))) == 0
+
+
+def test_one_index_serves_two_benchmarks(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "x a b"), (3, None)], "doc_id long, text string")
+    folder = write_index(docs, folder=f"file://{tmp_path}/index")
+    for text, want in (("A b", [(1, [0, 1]), (1, [0, 1]), (3, []), (None, [1, 2])]), ("c, d", [(1, [2, 3]), (1, [2, 3]), (3, []), (None, [])])):
+        bench = spark.createDataFrame([("i", text), ("j", None), (None, "..")], "item_id string, text string")
+        got = [(r.id, r.hits) for r in search(spark, folder, bench).collect()]
+        assert sorted(got, key=lambda r: (r[0] is None, r[0])) == want
+
+
 def test_overlaps_by_proximity(spark):
     rng = random.Random(3)
     texts = ["b y y a y y c", "c a b", "", None, "a b y y y y", "c c a", "a y b y c"] + [" ".join(rng.choice("abcxyz") for _ in range(rng.randint(1, 30))) for _ in range(60)]
     items = [("i", "a b c"), ("j", "x y"), ("k", "q a")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    got = {r["__id"]: (set(np.frombuffer(r.hits or b"", "<u4").tolist()), set(r["items"])) for r in overlaps(docs, spark.createDataFrame(items, "item_id string, text string"), span=5).collect()}
+    got = {r.id: (set(r.hits), set(r["items"])) for r in overlaps(docs, spark.createDataFrame(items, "item_id string, text string"), span=5).collect()}
     for d, t in enumerate(texts):
         ws, hits, found = (t or "").split(), set(), set()
         for name, terms in ((n, set(x.split())) for n, x in items):
