@@ -1,16 +1,20 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred for each host.
 
-A page's markup is a nested token stream. Adjacent elements with the same key (tag, with
-class, id and role) are folded into a repeated group. Two streams of a host are aligned
-level by level on the longest common subsequence of their keys: what both have is aligned
-in turn, what only one has becomes an optional group, and texts become slots. The result
-is a union-free expression again, and is aligned with the next page's. A wrapper also
-counts, for each slot, its pages and characters and whether its text varies.
-
-Alignment starts in each task, which sends on one wrapper a host and batch, goes on over
-parts of a host, and ends with one wrapper for each host. So a host with a third of all
-pages moves no more than a wrapper a batch. The wrapper decides which slots are the
-article's; pages are then read against their host's slots.
+A page's markup is a nested token stream. Elements with one key (tag, with class, id and
+role; digits count as one) that follow each other are folded into a repeated group, as are
+runs of several keys that come again. Two streams of a host are aligned level by level on the longest common
+subsequence of their keys: what both have is aligned in turn, what only one has becomes an
+optional group, and texts become slots. The result is a union-free expression again, and is
+aligned with the next. A slot counts its pages and characters, how many of these are links,
+and whether its text varies from page to page.
+
+Pages of one structure are summed before anything is aligned, and structures are aligned
+in the order of their form, so the wrapper doesn't depend on how pages lie in partitions.
+A host's structures are dealt over groups, whose wrappers are aligned in the end: a host
+with a third of all pages moves no more than its different structures a task.
+
+The wrapper decides which slots are the article's (``main_slots``); pages are then read
+against their host's slots.
 """
 
 from __future__ import annotations
@@ -19,14 +23,16 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, materialize
+from tessera.llm.common import bound_batches, materialize, scaled_parts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[/a-zA-Z!?])[^<]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -38,11 +44,22 @@ _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "d
 _ENDS |= {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 #: Elements that an implied end doesn't reach beyond.
 _WALLS = set("article aside body div footer form header html main nav ol section table ul dl".split())
+#: Elements that aren't an article's by what HTML says of them.
 _ASIDE_TAGS = set("head nav footer aside form script style noscript template button select menu dialog iframe svg title textarea".split())
-_ASIDE_WORDS = re.compile(r"(?:^|[\s_\-#.])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|sidebar|side|comments?|commentlist|respond|reply|replies|discussion|disqus|menu|nav\w*|breadcrumbs?|share|sharing|social|related|recommended|footer|header|masthead|newsletter|subscribe|signup|login|popup|modal|overlay|widget|navigation|contentinfo|complementary|search|alert|dialog|toolbar|pagination|pager|skip)(?:$|[\s_\-#.])", re.I)
-_MAIN = re.compile(r"(?:^|[\s_\-#.])(?:main|article|content|post|entry|story)(?:$|[\s_\-#.])", re.I)
-#: Parts of a host whose wrappers are aligned apart from each other first.
-SALTS = 32
+#: Names that tell of what is beside an article, and names that may. They settle what the wrapper leaves open, never more.
+_ASIDE_NAMES = "ads? advert\\w* banner sponsor\\w* promo\\w* cookies? consent sidebar comments? commentlist respond replies disqus menu nav\\w* breadcrumbs? sharing footer masthead newsletter subscribe signup login popup modal overlay widget navigation contentinfo complementary toolbar pagination pager"
+_OPEN_NAMES = "notices? side reply discussion share social related recommended header search alert dialog skip"
+_NAMED, _PERHAPS = (re.compile(rf"(?:^|[\s_\-])(?:{names.replace(' ', '|')})(?:$|[\s_\-])", re.I) for names in (_ASIDE_NAMES, _OPEN_NAMES))
+_HEADING = re.compile("h[1-6]")
+_MAIN = re.compile(r"(?:^|[\s_\-])(?:main|article|content|post|entry|story)(?:$|[\s_\-])", re.I)
+#: A slot is links if these have so much of its text; a part is small below this share of the text.
+LINKS, SMALL_PART = 0.6, 0.12
+#: The element that holds so much of the text is the article's; pages that must agree before a text counts as the host's.
+MOST_TEXT, LEAST_PAGES = 0.7, 3
+#: Keys of a run that is folded where it comes again; levels that a stream tells apart.
+RUN, DEEPEST = 4, 150
+#: Up to so many pairs of children the common subsequence is the longest; beyond, the one that takes each key where it comes next.
+PAIRS = 1_000_000
 #: Wrappers up to these many bytes together go to all tasks; more are joined by host.
 SMALL = 16 << 20
 
@@ -54,23 +71,30 @@ def _key(tag: str, attributes: str) -> str:
     return tag + "".join(f"{mark}{re.sub(r'\d+', '0', named[name].lower())}" for name, mark in (("class", "."), ("id", "#"), ("role", "@")) if named.get(name))
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """Text blocks in page order, each with the keys of the elements around it.
+Found = tuple[tuple[str, ...], str, int]
+
+
+def blocks(page: str) -> Iterator[Found]:
+    """Text blocks in page order, each with the keys of the elements around it and how many of its characters are links.
 
     An unclosed element ends where its parent does or where a start tag implies its end;
-    a tag or comment that the page's end cuts off is no text.
+    a tag or comment that the page's end cuts off is no text. Elements below DEEPEST levels
+    are part of the one above them.
     """
     stack: list[str] = []  # keys
     tags: list[str] = []
     held: list[str] = []
+    link, linked = False, 0
     at, size = 0, len(page)
 
-    def flush() -> Iterator[tuple[tuple[str, ...], str]]:
+    def flush() -> Iterator[Found]:
+        nonlocal linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                yield tuple(stack), text
+                yield tuple(stack[:DEEPEST]), text, min(linked, len(text))
+        linked = 0
 
     while at < size:
         m = _TOKEN.match(page, at)
@@ -79,10 +103,14 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         if tag is None:
             if page[m.start()] != "<" or m.end() == m.start() + 1:
                 held.append(m[0])
+                if link:
+                    linked += len(m[0])
             continue
         tag = tag.lower()
         if tag in _INLINE:
-            if tag in ("br", "img", "wbr"):
+            if tag == "a":
+                link = not m[1] and "href" in m[3].lower()
+            elif tag in ("br", "img", "wbr"):
                 held.append(" " if tag != "wbr" else "")
             continue
         if m[1]:
@@ -92,6 +120,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
                 del tags[k:], stack[k:]
             continue
         yield from flush()
+        link = False
         ends = _ENDS.get(tag)
         if ends:
             k = len(tags) - 1
@@ -109,7 +138,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             if tag in ("title", "textarea"):
                 text = " ".join(entities.unescape(page[at : end.start() if end else size]).split())
                 if text:
-                    yield (*stack, tag), text
+                    yield (*stack[:DEEPEST], tag), text, 0
             at = end.end() if end else size
             continue
         tags.append(tag)
@@ -117,123 +146,254 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     yield from flush()
 
 
-# A wrapper node is [key, flags, pages, characters, hash, children]: flags 1 optional, 2 repeated, 4 its text varies.
+# A wrapper node is [key, flags, pages, characters, links, least hash, largest hash, children].
+# Flags: 1 optional, 2 repeated. Hashes are of a page's whole text in the slot; they differ if it varies.
+KEY, FLAGS, PAGES, CHARS, LINKED, LEAST, MOST, KIDS = range(8)
+OPTIONAL, REPEATED = 1, 2
+_BITS = 0x7FFFFFFFFFFF
 
 
 def _node(key: str) -> list:
-    return [key, 0, 0, 0, 0, []]
+    return [key, 0, 0, 0, 0, 0, 0, []]
 
 
-def stream(found: list[tuple[tuple[str, ...], str]]) -> list:
-    """The nested stream of a page's blocks, with adjacent equal keys folded."""
+def stream(found: list[Found]) -> list:
+    """The nested stream of a page's blocks, folded."""
     root = _node("")
-    for path, text in found:
+    for path, text, linked in found:
         node = root
         for key in path:
-            children = node[5]
-            if not children or children[-1][0] != key:
-                children.append(_node(key))
-            node = children[-1]
-        if node[3]:
-            node[1] |= 2
-        node[3] += len(text)
-        node[2] = 1
-        node[4] = hash_of(text) if not node[4] else node[4] ^ hash_of(text)
-    root[2] = 1
-    return root
+            kids = node[KIDS]
+            if not kids or kids[-1][KEY] != key:
+                kids.append(_node(key))
+            node = kids[-1]
+        if node[CHARS]:
+            node[FLAGS] |= REPEATED
+        node[CHARS] += len(text)
+        node[LINKED] += linked
+        node[PAGES] = 1
+        node[LEAST] = node[MOST] = (node[LEAST] * 1_000_003 + hash_of(text)) & _BITS
+    root[PAGES] = 1
+    return _folded(root, True)
 
 
 def hash_of(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()) & 0x7FFFFFFFFFFF
-
-
-def align(a: list, b: list) -> list:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()) & _BITS
+
+
+def _united(a: list, b: list, one_page: bool) -> list:
+    """Slots of one key put together: those of one page add up to one text, those of two pages are compared."""
+    if not a[PAGES] or not b[PAGES]:
+        x = a if a[PAGES] else b
+        return [a[KEY], a[FLAGS] | b[FLAGS], *x[PAGES:KIDS], []]
+    if one_page:
+        text = (a[LEAST] * 1_000_003 + b[LEAST]) & _BITS
+        return [a[KEY], a[FLAGS] | b[FLAGS], 1, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], text, text, []]
+    return [a[KEY], a[FLAGS] | b[FLAGS], a[PAGES] + b[PAGES], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), []]
+
+
+def _folded(node: list, one_page: bool) -> list:
+    """Runs of up to RUN keys that come again right away are one repeated group, at all levels."""
+    kids: list[list] = []
+    for kid in node[KIDS]:
+        kids.append(_folded(kid, one_page))
+        for n in range(1, RUN + 1):
+            if len(kids) >= 2 * n and [k[KEY] for k in kids[-n:]] == [k[KEY] for k in kids[-2 * n : -n]]:
+                again = kids[-n:]
+                del kids[-n:]
+                for i, k in enumerate(again):
+                    kids[i - n] = align(kids[i - n], k, one_page)
+                    kids[i - n][FLAGS] |= REPEATED
+                break
+    return [*node[:KIDS], kids]
+
+
+def align(a: list, b: list, one_page: bool = False) -> list:
     """The union-free expression that both of two nodes with one key match."""
-    out = [a[0], a[1] | b[1], a[2] + b[2], a[3] + b[3], a[4] or b[4], []]
-    if a[4] and b[4] and a[4] != b[4]:
-        out[1] |= 4
-    x, y = a[5], b[5]
-    keys_x, keys_y = [n[0] for n in x], [n[0] for n in y]
+    out = _united(a, b, one_page)
+    x, y = a[KIDS], b[KIDS]
+    keys_x, keys_y = [n[KEY] for n in x], [n[KEY] for n in y]
     if keys_x == keys_y:
-        merged = [align(p, q) for p, q in zip(x, y, strict=True)]
-    else:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if keys_x[i] == keys_y[j] else max(best[i + 1][j], best[i][j + 1])
-        merged, i, j = [], 0, 0
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and keys_x[i] == keys_y[j]:
-                merged.append(align(x[i], y[j]))
-                i, j = i + 1, j + 1
-            elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-                merged.append([x[i][0], x[i][1] | 1, *x[i][2:]])
-                i += 1
-            else:
-                merged.append([y[j][0], y[j][1] | 1, *y[j][2:]])
-                j += 1
-    for node in merged:  # neighbours of one key are one repeated group
-        if out[5] and out[5][-1][0] == node[0]:
-            out[5][-1] = align(out[5][-1], node)
-            out[5][-1][1] |= 2
+        out[KIDS] = [align(p, q, one_page) for p, q in zip(x, y, strict=True)]
+        return out
+    merged, i, j = out[KIDS], 0, 0
+    for p, q in [*_common(keys_x, keys_y), (len(x), len(y))]:
+        merged += [[n[KEY], n[FLAGS] | OPTIONAL, *n[PAGES:]] for n in (*x[i:p], *y[j:q])]
+        if p < len(x):
+            merged.append(align(x[p], y[q], one_page))
+        i, j = p + 1, q + 1
+    return _folded(out, one_page)
+
+
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of two lists of keys."""
+    out = []
+    if len(x) * len(y) > PAIRS:
+        places: dict[str, list[int]] = {}
+        for j, key in enumerate(y):
+            places.setdefault(key, []).append(j)
+        j = 0
+        for i, key in enumerate(x):
+            own = places.get(key, ())
+            k = bisect_left(own, j)
+            if k < len(own) and own[k] - j < 64:
+                out.append((i, own[k]))
+                j = own[k] + 1
+        return out
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
         else:
-            out[5].append(node)
+            j += 1
     return out
 
 
-def aside(key: str, inside: tuple[str, ...] = ()) -> bool:
-    """Whether an element is beside the main text by its own key."""
-    tag = re.split(r"[.#@]", key, maxsplit=1)[0]
-    if tag in _ASIDE_TAGS or tag == "header" and not any(re.match(r"(article|main)\b", k) for k in inside):
-        return True
-    return len(key) > len(tag) and tag not in ("html", "body", "main") and bool(_ASIDE_WORDS.search(key[len(tag) :].replace(".", " ").replace("@", " ")))
+def form(node: list) -> str:
+    """The expression alone, without what its slots count."""
+    mark = "*" if node[FLAGS] & REPEATED else ""
+    return f"{node[KEY]}{mark}{'#' if node[PAGES] else ''}({','.join([form(k) for k in node[KIDS]])})"
+
+
+def summed(a: list, b: list) -> list:
+    """Two wrappers of one form as one; the order doesn't matter."""
+    return [*_united(a, b, False)[:KIDS], [summed(x, y) for x, y in zip(a[KIDS], b[KIDS], strict=True)]]
+
+
+@dataclass
+class Part:
+    """An element of the wrapper with what lies below it."""
+
+    path: tuple[str, ...]
+    flags: int
+    chars: int
+    linked: int
+    pages: int
+    varies: bool
+    kids: list[Part]
+
+    def slots(self) -> Iterator[Part]:
+        yield self
+        for k in self.kids:
+            yield from k.slots()
+
+
+def _part(node: list, path: tuple[str, ...], whole: int) -> Part:
+    """Elements of one path are one; ``whole`` pages make the wrapper."""
+    grouped: dict[str, list[list]] = {}
+    for k in node[KIDS]:
+        grouped.setdefault(k[KEY], []).append(k)
+    kids = []
+    for key, nodes in grouped.items():
+        one = nodes[0]
+        for other in nodes[1:]:
+            flags = one[FLAGS] | other[FLAGS]
+            one = [*_united(one, other, False)[:KIDS], [*one[KIDS], *other[KIDS]]]
+            one[FLAGS] = flags
+        kids.append(_part(one, (*path, key), whole))
+    chars, linked = node[CHARS] + sum(k.chars for k in kids), node[LINKED] + sum(k.linked for k in kids)
+    pages = max([node[PAGES], *(k.pages for k in kids)])
+    varies = node[LEAST] != node[MOST] or any(k.varies for k in kids)
+    return Part(path, node[FLAGS], chars, linked, pages, varies, kids)
+
+
+def _tag(key: str) -> str:
+    return re.split(r"[.#@]", key, maxsplit=1)[0]
+
+
+def _called(key: str, names: re.Pattern) -> bool:
+    tag = _tag(key)
+    return len(key) > len(tag) and bool(names.search(re.sub(r"[.#@]", " ", key[len(tag) :])))
+
+
+def _records(part: Part) -> bool:
+    """Whether it is, or holds, a list of like elements that hold elements: comments, teasers. Runs of paragraphs aren't."""
+    return any(p.flags & REPEATED and any(k.chars for k in p.kids) and _tag(p.path[-1]) not in ("ul", "ol", "table", "tr", "tbody", "dl", "p", "blockquote") for p in part.slots() if p.path)
+
 
+def beside(part: Part, total: int, whole: int, inside: bool) -> bool:
+    """Whether a part of the wrapper is beside the article.
 
-def _slots(node: list, path: tuple[str, ...], out: list[tuple[tuple[str, ...], list]]) -> None:
-    for child in node[5]:
-        if not aside(child[0], path):
-            below = (*path, child[0])
-            if child[3]:
-                out.append((below, child))
-            _slots(child, below, out)
+    It is if HTML says so, if its text is mostly links, or if the text is the host's (many pages have it and it never
+    varies; headings may, and blocks of an article). Otherwise a name can settle what its form leaves open: parts that are small, or lists of records, or of a
+    host with too few pages to tell.
+    """
+    key = part.path[-1]
+    tag = _tag(key)
+    if tag in _ASIDE_TAGS or tag == "header" and not inside:
+        return True
+    if not part.chars or tag in ("html", "body", "main", "article"):
+        return False
+    if part.linked >= LINKS * part.chars:
+        return True
+    if part.pages >= max(LEAST_PAGES, whole / 4) and not part.varies and not (inside and _prose(part)) and not _HEADING.fullmatch(tag):
+        return True
+    name = 1.0 if _called(key, _NAMED) else 0.5 if _called(key, _PERHAPS) else 0.0
+    return name > 0 and name + 1.5 * _records(part) + (part.chars < SMALL_PART * total or whole < LEAST_PAGES) >= 2
+
+
+def _kept(part: Part, total: int, whole: int, inside: bool = False) -> list[Part]:
+    """The parts below that aren't beside the article, without those inside parts that are."""
+    out = []
+    for kid in part.kids:
+        here = inside or _tag(kid.path[-1]) in ("article", "main")
+        if not beside(kid, total, whole, here):
+            below = _kept(kid, total, whole, here)
+            own = kid.chars - sum(k.chars for k in kid.kids)
+            out.append(Part(kid.path, kid.flags, max(own, 0) + sum(k.chars for k in below), kid.linked, kid.pages, kid.varies, below))
+    return out
 
 
 def main_slots(wrapper: list) -> list[tuple[str, ...]]:
     """Paths of the slots that hold the article.
 
-    Slots in an article or main element; else those below the deepest element that holds
-    most of the text of the slots that vary (of all, if none does).
+    What lies beside an article goes first. The article is in the deepest element that has MOST_TEXT of the text that
+    is left. Where no element has so much, elements that HTML or their names call the article's break the tie.
     """
-    slots: list[tuple[tuple[str, ...], list]] = [((), wrapper)] if wrapper[3] else []
-    _slots(wrapper, (), slots)
-    for named in (r"article\b", r"main\b"):
-        own = [p for p, _ in slots if any(re.match(named, k) for k in p)]
-        if own:
-            return sorted(set(own))
-    named = [p for p, _ in slots if any(k[:4] not in ("html", "body") and _MAIN.search(re.sub(r"^\w+", "", k).replace(".", " ").replace("@", " ")) for k in p)]
-    if named:
-        return sorted(set(named))
-    varied = [(p, n) for p, n in slots if n[1] & 4] or slots
-    total = sum(n[3] for _, n in varied)
-    best: tuple[str, ...] = ()
+    whole = wrapper[PAGES]
+    root = _part(wrapper, (), whole)
+    total = root.chars
+    left = _kept(root, total, whole)
+    best = Part((), root.flags, sum(p.chars for p in left) + wrapper[CHARS], 0, whole, root.varies, left)
+    text = best.chars
     while True:
-        weights: dict[tuple[str, ...], int] = {}
-        for p, n in varied:
-            if p[: len(best)] == best and len(p) > len(best) + 1:
-                weights[p[: len(best) + 1]] = weights.get(p[: len(best) + 1], 0) + n[3]
-        top = max(weights.items(), key=lambda w: (w[1], w[0]), default=None)
-        if top is None or top[1] < 0.7 * total:
-            break
-        best = top[0]
-    return sorted({p for p, _ in slots if p[: len(best)] == best})
-
-
-def extract(found: list[tuple[tuple[str, ...], str]], slots: set[tuple[str, ...]]) -> str:
-    """A page's blocks in its host's main slots; a page that has none of them is its own wrapper."""
-    text = [t for p, t in found if p in slots]
-    if not text and found:
+        top = min(best.kids, key=lambda k: (-k.chars, k.path), default=None)
+        if top and top.chars >= MOST_TEXT * text and not _prose(top) and not any(_tag(k) == "article" for k in best.path) and not _titled(best, top):
+            best = top
+            continue
+        called = [p for p in best.slots() if p is not best and p.chars and (_tag(p.path[-1]) in ("article", "main") or _called(p.path[-1], _MAIN))]
+        if called and not any(_tag(k) in ("article", "main") for k in best.path):
+            best = min(called, key=lambda p: (_tag(p.path[-1]) != "article", _tag(p.path[-1]) != "main", -p.chars, p.path))
+            continue
+        return sorted({p.path for p in best.slots() if p.chars} | ({()} if not best.path and wrapper[CHARS] else set()))
+
+
+def _titled(parent: Part, kid: Part) -> bool:
+    """Whether what comes before an element has the first heading, and the element has none."""
+    before = parent.kids[: parent.kids.index(kid)]
+    has = lambda p: any(x.path and _tag(x.path[-1]) == "h1" and x.chars for x in p.slots())
+    return any(has(p) for p in before) and not has(kid)
+
+
+def _prose(part: Part) -> bool:
+    """Whether it is a block of running text, whose neighbours belong to it."""
+    return _tag(part.path[-1]) in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "table", "dl", "dt", "dd", "figure", "tbody", "tr", "td", "th")
+
+
+def extract(found: list[Found], slots: set[tuple[str, ...]]) -> str:
+    """A page's blocks in its host's main slots; a page of another form, that has less than a tenth of its own article there, is its own wrapper."""
+    text = [t for p, t, _ in found if p in slots]
+    if 2 * sum(map(len, text)) < sum(len(t) for p, t, _ in found if not any(_tag(k) in _ASIDE_TAGS for k in p)):
         own = set(main_slots(stream(found)))
-        text = [t for p, t in found if p in own]
+        if 10 * sum(map(len, text)) < sum(len(t) for p, t, _ in found if p in own):
+            text = [t for p, t, _ in found if p in own]
     return "\n".join(text)
 
 
@@ -244,28 +404,61 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+#: Wrappers that a task holds before it sends them on.
+HELD = 4_000
+
+
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, form, w): pages of one host and form summed, in each task."""
+    held: dict[tuple[str, str], list] = {}
+
+    def sent() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], ["host", "form", "w"])
+        held.clear()
+        return out
+
     for batch in batches:
-        wrappers: dict[str, list] = {}
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            host, new = host_of(url), stream(list(blocks(page or "")))
-            wrappers[host] = align(wrappers[host], new) if host in wrappers else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(wrappers)), pa.array([json.dumps(w) for w in wrappers.values()])], ["host", "w"])
+            new = stream(list(blocks(page or "")))
+            key = host_of(url), hashlib.blake2b(form(new).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+            held[key] = summed(held[key], new) if key in held else new
+            if len(held) >= HELD:
+                yield sent()
+    yield sent()
+
+
+def _sum(key: tuple, table: pa.Table) -> pa.Table:
+    """Wrappers of one form as one."""
+    out: dict[str, list] = {}
+    for name, text in zip(table.column("form").to_pylist(), table.column("w").to_pylist(), strict=True):
+        new = json.loads(text)
+        out[name] = summed(out[name], new) if name in out else new
+    return pa.table({"host": pa.array([key[0].as_py()] * len(out), pa.string()), "form": pa.array(list(out), pa.string()), "w": pa.array([json.dumps(w) for w in out.values()], pa.string())})
 
 
 def _merge(key: tuple, table: pa.Table) -> pa.Table:
+    """Wrappers aligned in the order of their forms."""
     out: list | None = None
-    for text in sorted(table.column("w").to_pylist()):
+    for _, text in sorted(zip(table.column("form").to_pylist(), table.column("w").to_pylist(), strict=True)):
         new = json.loads(text)
         out = new if out is None else align(out, new)
-    return pa.table({"host": pa.array([key[0].as_py()]), "w": pa.array([json.dumps(out)])})
+    return pa.table({"host": pa.array([key[0].as_py()]), "form": pa.array([f"{key[1].as_py():08d}" if len(key) > 1 else ""]), "w": pa.array([json.dumps(out)])})
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(``host``, ``w``): the wrapper of each host as JSON. Urls that are null or have no host share the host ''."""
-    parts = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")).mapInArrow(_infer, "host string, w string")
-    salted = parts.groupBy("host", F.pmod(F.xxhash64("w"), F.lit(SALTS)).alias("salt")).applyInArrow(_merge, "host string, w string")
-    return salted.groupBy("host").applyInArrow(_merge, "host string, w string")
+    """(``host``, ``w``): the wrapper of each host as JSON. Urls that are null or have no host share the host ''.
+
+    Each page is read once; its form is summed in its task, then over tasks, and forms are aligned in groups of a
+    host, groups of groups, and for the host.
+    """
+    kind = "host string, form string, w string"
+    parts = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")).mapInArrow(_infer, kind)
+    n = scaled_parts(pages)
+    summed_up = parts.groupBy("host", F.pmod(F.xxhash64("form"), F.lit(n)).cast("int").alias("group")).applyInArrow(_sum, kind)
+    salt = F.pmod(F.xxhash64("form"), F.lit(n)).cast("int")
+    first = summed_up.groupBy("host", salt.alias("group")).applyInArrow(_merge, kind)
+    second = first.groupBy("host", F.pmod(F.col("form").cast("int"), F.lit(max(1, round(n**0.5)))).alias("group")).applyInArrow(_merge, kind)
+    return second.groupBy("host").applyInArrow(_merge, kind).select("host", "w")
 
 
 def _host_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +473,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if slots is not None and slots not in known:
-                if len(known) > 5000:
+                if len(known) > 1000:
                     known.clear()
                 known[slots] = {tuple(p) for p in json.loads(slots)}
             texts.append(extract(list(blocks(page or "")), known.get(slots, set())))
@@ -291,7 +484,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Per page: ``page_id``, ``url``, ``text`` (blocks joined by line feeds), ``n_chars``.
 
     Pages that are null, empty or without an article's text give an empty text. Rows with
-    equal ids stay apart; a null url belongs to the host ''.
+    equal ids and null ids stay apart; a null url belongs to the host ''. Extra columns are left out.
     """
     bound_batches(pages.sparkSession)
     slots = materialize(wrappers(pages, url_col, html_col).mapInArrow(_host_slots, "host string, slots string"))

@@ -18,7 +18,7 @@ from tessera.llm import knn, quality, toxicity, warc
 from tessera.llm.bpe import Codec, encoded, vocabulary_file
 from tessera.llm.components import connected
 from tessera.llm.decontaminate import Postings, judged, overlaps, packed, search, unpacked, without_contaminated, write_index
-from tessera.llm.html_wrapper import align, blocks, main_slots, main_text, stream
+from tessera.llm.html_wrapper import FLAGS, KEY, KIDS, LEAST, MOST, OPTIONAL, PAGES, REPEATED, align, blocks, extract, main_slots, main_text, stream
 from tessera.llm.labelled import held_out_id, isotonic
 from tessera.llm.minhash import band_rows, near_duplicates, without_near_duplicates
 from tessera.llm.queries import ORACLE_SQL, QUERIES
@@ -280,17 +280,52 @@ def test_html_main_text(spark):
 
 def test_wrappers_fold_repeats_and_mark_options():
     a, b = (stream(list(blocks(f"<body><ul>{'<li>x' * n}</ul>{p}<p>{n}</p></body>"))) for n, p in ((3, "<h2>h</h2>"), (1, "")))
-    w = align(a, b)
-    body = w[5][0]
-    assert [n[0] for n in body[5]] == ["ul", "h2", "p"] and body[5][1][1] & 1 and body[5][0][5][0][1] & 2 and body[5][2][1] & 4
+    body = align(a, b)[KIDS][0]
+    assert [n[KEY] for n in body[KIDS]] == ["ul", "h2", "p"] and body[KIDS][1][FLAGS] & OPTIONAL and body[KIDS][0][KIDS][0][FLAGS] & REPEATED and body[KIDS][2][LEAST] != body[KIDS][2][MOST]
+    runs = stream(list(blocks("<body>" + "<h2>a</h2><p>b</p>" * 5 + "</body>")))[KIDS][0]
+    assert [(n[KEY], n[FLAGS]) for n in runs[KIDS]] == [("h2", REPEATED), ("p", REPEATED)]
     assert main_slots(stream([])) == []
+    long = stream(list(blocks("<body>" + "".join(f"<i{k % 7}{k % 11}>x</i{k % 7}{k % 11}>" for k in range(3000)) + "</body>")))
+    assert align(long, stream(list(blocks("<body>" + "<p>x</p><h2>y</h2><dl>z</dl>" * 2 + "</body>"))))[PAGES] == 2
+    deep = list(blocks("<div>" * 5000 + "text"))
+    assert extract(deep, set()) == "text"
 
 
 def test_wrappers_see_changes_late_in_a_text():
     same = "word " * 20
     pages = [stream(list(blocks(f"<html><body><p>{same}{x}</p><div>{same}</div></body></html>"))) for x in ("abc", "xyz")]
-    flags = {n[0]: n[1] for n in align(*pages)[5][0][5][0][5]}
-    assert flags["p"] & 4 and not flags["div"] & 4
+    varies = {n[KEY]: n[LEAST] != n[MOST] for n in align(*pages)[KIDS][0][KIDS][0][KIDS]}
+    assert varies == {"p": True, "div": False}
+
+
+def _prose(k, n=3):
+    rng = random.Random(k)
+    return [" ".join(rng.choice(VOCAB) for _ in range(25)) for _ in range(n)]
+
+
+def test_the_wrapper_decides(spark):
+    """Pages without article, main or telling names; sections of an article with misleading names; a notice that only the host's other pages give away."""
+    rows, want = [], {}
+    for i in range(8):
+        a, b = _prose(i), _prose(100 + i, 2)
+        head = f"Heading {i} of page"
+        plain = "<div class=top><p>Welcome to our pages, dear reader, and please accept what we store here now</p></div>"
+        menu = "<div class=list>" + "".join(f"<div><a href=/{k}>Item {k} of menu {i}</a></div>" for k in range(12)) + "</div>"
+        talk = "<div class=discussion>" + "".join(f"<div><b>User {k}</b><p>I say {k} {i}</p></div>" for k in range(3)) + "</div>"
+        rows.append((i, f"http://plain.org/{i}", f"<html><body>{menu}<div class=mid><h1>{head}</h1>{plain}{''.join(f'<p>{t}</p>' for t in a)}</div>{talk}</body></html>"))
+        want[i] = "\n".join([head, *a])
+        section = f"<section id=discussion><h2>Discussion</h2>{''.join(f'<p>{t}</p>' for t in b)}</section>"
+        rows.append((100 + i, f"http://named.org/{i}", f"<html><body><article><h1>{head}</h1>{''.join(f'<p>{t}</p>' for t in a)}{section}</article></body></html>"))
+        want[100 + i] = "\n".join([head, *a, "Discussion", *b])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    for i in range(8):
+        assert got[100 + i] == want[100 + i] and got[i] == want[i], i
+    alone = extract(found := list(blocks(rows[0][2])), set(main_slots(stream(found))))
+    assert "Welcome" in alone and "Welcome" not in got[0]  # the host's pages tell what one page can't
+    for seed, parts in ((1, 1), (2, 7), (3, 3)):
+        mixed = df.orderBy(F.rand(seed)).repartition(parts)
+        assert {r.page_id: r.text for r in main_text(mixed).collect()} == got
 
 
 def test_exact_top_k(spark, monkeypatch):
