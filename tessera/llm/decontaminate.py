@@ -4,7 +4,7 @@
 documents), the list of the term's positions. The table is dealt by term, so a search
 reads the lists of its own terms; a frequent term's lists are dealt over several
 partitions by segment. Positions number the words of a segment, with a gap after each
-document; the gaps are the postings of a term of their own.
+document; the gaps, and what is known of the documents, are postings of terms of their own.
 
 ``search`` turns a benchmark into windows, joins their terms with the stored lists, and
 brings what was found together by segment. There a window is answered from its rarest
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import CACHES, bound_batches, materialize, restored, scaled_parts, shared_dir, stable, tidy, tidy_group
 from tessera.llm.warc import _store
-from tessera.llm.words import PUNCT, chunks, find_words
+from tessera.llm.words import PUNCT, Words, chunks, find_words
 
 #: Windows in a block, which one task holds with the postings of one segment.
 BLOCK_WINDOWS = 50_000
@@ -39,9 +39,11 @@ BLOCK_WINDOWS = 50_000
 SEGMENT_BYTES = 4 << 20
 #: Terms of a search, and contaminated documents, up to these numbers are sent to all tasks; more are merge-joined.
 SMALL_TERMS, SMALL_DOCS = 1_000_000, 1_000_000
-#: The term whose positions are the gaps after documents.
-GAP = 0
-_INDEX = "term long, segment long, n int, at binary, doc int, id long, h long, n_words long, part string"
+#: The terms whose positions are the gaps after documents, and whose list has the documents themselves.
+GAP, DOCS = 0, 1
+_INDEX = "term long, segment long, n int, at binary"
+#: A document in the list of DOCS.
+_DOC = np.dtype([("id", "<i8"), ("h", "<i8"), ("n_words", "<i8"), ("null", "<i8")])
 
 
 def packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
@@ -145,10 +147,16 @@ class Postings:
         return np.unique(self.spans(terms, span)[2])
 
 
+def hashed(words: Words) -> np.ndarray:
+    """The term of each word; no word has that of GAP or DOCS."""
+    h = words.hashes().view(np.int64)
+    return np.where((h == GAP) | (h == DOCS), h + 2, h)
+
+
 def posted(texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a segment: its terms ascending, the size of each list, all positions, and the gaps after documents."""
     words = find_words(texts, PUNCT, lower=True)
-    h, counts = words.hashes().view(np.int64), words.counts()
+    h, counts = hashed(words), words.counts()
     at = np.arange(len(h)) + words.doc_of_word()
     order = np.argsort(h, kind="stable")
     s = h[order]
@@ -157,16 +165,10 @@ def posted(texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of both tables of the index: postings have a term, documents have none."""
     from pyspark import TaskContext
 
     segment = TaskContext.get().partitionId() << 32
-    names = ["part", "term", "segment", "n", "at", "doc", "id", "h", "n_words"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-
-    def rows(count: int, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([given[n] if n in given else pa.nulls(count, k) for n, k in zip(names, kinds, strict=True)], names)
-
+    names = ["term", "segment", "n", "at"]
     for batch in batches:
         texts = batch.column(2).cast(pa.binary()).to_pylist()
         for a, b in chunks(texts, SEGMENT_BYTES):
@@ -174,30 +176,46 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms, sizes, at = np.append(terms, GAP), np.append(sizes, len(gaps)), np.append(at, gaps)
             lists = packed(at, np.concatenate(([0], np.cumsum(sizes))))
             for i in range(0, len(terms), 50_000):
-                n = len(terms[i : i + 50_000])
-                yield rows(n, part=pa.repeat("postings", n), term=pa.array(terms[i : i + n]), segment=pa.repeat(segment, n), n=pa.array(sizes[i : i + n], pa.int32()), at=lists[i : i + n])
-            n = b - a
-            counts = np.diff(gaps, prepend=-1) - 1
-            yield rows(n, part=pa.repeat("docs", n), segment=pa.repeat(segment, n), doc=pa.array(np.arange(n), pa.int32()), id=batch.column(0)[a:b], h=batch.column(1)[a:b], n_words=pa.array(counts, pa.int64()))
+                own = lists[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 50_000]), pa.repeat(segment, len(own)), pa.array(sizes[i : i + 50_000], pa.int32()), own], names)
+            docs = np.zeros(b - a, _DOC)
+            docs["id"], docs["h"] = batch.column(0)[a:b].fill_null(0).to_numpy(), batch.column(1)[a:b].to_numpy()
+            docs["n_words"], docs["null"] = np.diff(gaps, prepend=-1) - 1, np.asarray(batch.column(0)[a:b].is_null())
+            yield pa.RecordBatch.from_arrays([pa.array([DOCS]), pa.array([segment]), pa.array([b - a], pa.int32()), pa.array([docs.tobytes()], pa.binary())], names)
             segment += 1
 
 
 def write_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> str:
-    """Write the index of ``docs`` and return its folder: ``postings`` (term, segment, n, at) and ``docs`` (segment, doc, id, h, n_words).
+    """Write the index of ``docs`` and return its folder, a table of ``term``, ``segment``, ``n`` (positions) and ``at``.
 
-    Null texts have no words. Rows with equal ids stay apart; ``h`` is a hash of the text, by which a row is found again.
+    Null texts have no words. Rows with equal ids stay apart. A segment is of at most SEGMENT_BYTES or one text, which
+    may have up to 2^28 words.
     """
     bound_batches(docs.sparkSession)
     folder = folder or shared_dir(docs.sparkSession)
     rows = stable(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("h"), F.col(f"`{text_col}`").alias("text")))
     n = scaled_parts(docs)
-    found = rows.mapInArrow(tidy("decontaminate", _post), "part string, term long, segment long, n int, at binary, doc int, id long, h long, n_words long")
+    found = rows.mapInArrow(tidy("decontaminate", _post), _INDEX)
     # a frequent term has a list a segment: they go to about the root of the partitions
     spread = F.pmod("segment", F.lit(max(1, round(n**0.5))))
-    found.repartition(n, "term", spread).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(folder)
+    found.repartition(n, "term", spread).sortWithinPartitions("term").write.parquet(folder)
     return folder
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for segment, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            d = np.frombuffer(data, _DOC)
+            cols = [pa.repeat(segment, len(d)), pa.array(np.arange(len(d)), pa.int32()), pa.array(d["id"], mask=d["null"] > 0), pa.array(d["h"]), pa.array(d["n_words"])]
+            yield pa.RecordBatch.from_arrays(cols, ["segment", "doc", "id", "h", "n_words"])
+
+
+def indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of an index: ``segment``, ``doc`` (their number in it), ``id``, ``h`` (a hash of the text) and ``n_words``."""
+    rows = spark.read.schema(_INDEX).parquet(folder).where(F.col("term") == DOCS).select("segment", "at")
+    return rows.mapInArrow(_documents, "segment long, doc int, id long, h long, n_words long")
+
+
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +223,7 @@ def _windows(window: int):
             names = batch.column(0).fill_null("").to_pylist()
             for a, b in chunks(texts, 1 << 20):
                 words = find_words(texts[a:b], PUNCT, lower=True)
-                h = words.hashes().view(np.int64)
+                h = hashed(words)
                 for i, name in enumerate(names[a:b]):
                     own = h[words.bounds[i] : words.bounds[i + 1]]
                     width = min(window, len(own))
@@ -324,16 +342,14 @@ def search(spark: SparkSession, folder: str, benchmark: DataFrame, item_col: str
     windows.repartition(blocks, "block").write.partitionBy("block").parquet(stored)
     windows = spark.read.schema("wid long, terms array<long>, block int").parquet(stored)
     terms = materialize(windows.select("block", F.explode("terms").alias("term")).union(windows.select("block", F.lit(GAP).cast("long"))).distinct())
-    index = spark.read.schema(_INDEX).parquet(folder)
-    postings = index.where("part = 'postings'").select("term", "segment", "n", "at")
+    postings = spark.read.schema(_INDEX).parquet(folder)
     small = terms.count() <= SMALL_TERMS
     found = postings.join(F.broadcast(terms) if small else terms.hint("merge"), "term").groupBy("segment", "block").applyInArrow(tidy_group("decontaminate", _answer(stored, span)), "segment long, doc int, hits array<int>, windows array<long>")
     found = materialize(found)
     names = asked.select("wid", "item")
     named = found.select("segment", "doc", F.explode("windows").alias("wid")).join(F.broadcast(names) if small else names, "wid").groupBy("segment", "doc").agg(F.sort_array(F.collect_set("item")).alias("items"))
     hits = found.groupBy("segment", "doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
-    docs = index.where("part = 'docs'").select("segment", "doc", "id", "h", "n_words")
-    out = docs.join(hits.join(named, ["segment", "doc"]), ["segment", "doc"], "left")
+    out = indexed(spark, folder).join(hits.join(named, ["segment", "doc"]), ["segment", "doc"], "left")
     return out.select("id", "h", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
