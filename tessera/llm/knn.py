@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import materialize
 
-#: Pivots, at most; with the summaries they are all that is broadcast.
-PIVOTS = 128
+#: Pivots are half the root of the rows, and so many at most; with the summaries they are all that is broadcast.
+PIVOTS = 1024
 #: Vectors of a group that meet a query group in one task.
 BLOCK_ROWS = 20_000
 #: Queries of a group that are scored together.

@@ -35,8 +35,8 @@ from tessera.llm.words import SPACE, U, chunks, find_words, mix, window_hash
 PERMUTATIONS = 80
 #: Most likely loss of a pair at the threshold.
 MOST_LOSS = 1e-8
-#: Members of a cluster that one task compares with each other or with as many others.
-PART_MEMBERS = 3000
+#: Members of a cluster, and shingles of theirs, that one task compares with each other or with as many others.
+PART_MEMBERS, PART_SHINGLES = 3000, 2_000_000
 _ODD = mix(np.arange(1, 2 * PERMUTATIONS + 1).astype(U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -221,8 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coarse = connected(keyed.join(shared, "band").where("id > m").select("id", "m"))
 
     # the clusters' texts meet once; a large cluster is dealt over pairs of its parts
-    sizes = coarse.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    parts = F.ceil(F.col("members") / PART_MEMBERS).cast("int")
+    sizes = coarse.join(first.select(F.col("id").alias("node"), "n"), "node").groupBy("root").agg(F.count_distinct("node").alias("members"), F.sum("n").alias("shingles"))
+    parts = F.ceil(F.greatest(F.col("members") / PART_MEMBERS, F.col("shingles") / PART_SHINGLES)).cast("int")
     placed = coarse.join(sizes, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), parts.alias("g"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
     task = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(4 * n)).cast("int")
     # the clusters' members grow with the documents, so they are never broadcast to the texts

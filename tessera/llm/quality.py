@@ -21,6 +21,7 @@ from tessera.llm.common import carried, materialize, restored, tidy
 from tessera.llm.labelled import held_out, isotonic, summed, teaching
 from tessera.llm.words import SPACE, U, chunks, find_words, window_hash
 
+#: Scores are calibrated in BINS bins from -0.5 to 1.5; the outer ones have all beyond.
 FEATURES, RIDGE, SEED, BINS = 256, 1e-3, 20240607, 512
 _CLASSES = np.zeros(256, np.int64)
 for _i, _bytes in enumerate((range(65, 91), range(97, 123), range(48, 58), b".,;:", b"!?", b"|", b"#$%&*", b"<>{}[]()/\\=+_~^@\"'-`"), 1):

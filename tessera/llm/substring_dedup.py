@@ -280,7 +280,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"a window has {2 * PERIOD - 1} words at least")
     rows = carried(docs, id_col, text_col, carry)
     n = scaled_parts(docs)
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("__id"), F.lit(n)).cast("int")).repartition(n, "block")
+    # rows of one id may lie in any block: a document doesn't remove what only it has, wherever its rows are
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("__id", "__text"), F.lit(n)).cast("int")).repartition(n, "block")
     by_block = blocks.groupBy("block")
     sent = by_block.applyInArrow(tidy_group("substring", _send_anchors(n, window)), _PACKED)
     shared = sent.groupBy("bucket").applyInArrow(tidy_group("substring", _shared_anchors), _REPLY)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import carried, tidy
+from tessera.llm.common import carried, materialize, tidy
 from tessera.llm.labelled import held_out, isotonic, summed, teaching
 from tessera.llm.words import PUNCT, U, Words, chunks, find_words, mix
 
@@ -32,6 +32,7 @@ PRIOR, LEAST_Z, LEAST_ODDS, LEAST_DOCS = 0.125, 2.5, 1.5, 4
 DRIFT = 1.0
 #: A segment is significant if fewer are expected in clean text of this length.
 MOST_EXPECTED = 0.5
+#: Statistics are calibrated in bins; the last one has all from BINS * BIN = 100 on, where E is below 1e-43.
 BINS, BIN = 400, 0.25
 
 
@@ -233,7 +234,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     does; rows with equal ids stay apart; a row with a null id counts as held out.
     """
     rows = carried(docs, id_col, text_col, carry)
-    taught = rows.select("__id", "__text").join(F.broadcast(teaching(labels, label)), "__id")  # at most MOST_TEACHING_ROWS rows
+    # at most MOST_TEACHING_ROWS labels; their texts are read again for each of the fit's sums
+    taught = materialize(rows.select("__id", "__text").join(F.broadcast(teaching(labels, label)), "__id"))
     model = docs.sparkSession.sparkContext.broadcast(fit(taught))
     span = T.StructType().add("first", "long").add("last", "long").add("expected", "double")
     out = T.StructType().add("__id", "long").add("score", "double").add("passages", T.ArrayType(span))
