@@ -1,4 +1,10 @@
-"""A training corpus from ``documents``: quality, near duplicates, repeated passages, benchmark overlap, token ids."""
+"""A training corpus from ``documents``: quality, near duplicates, repeated passages, benchmark overlap, token ids.
+
+Null and empty texts score like any other and have no words, so no stage after the classifier drops them. Rows with one id
+are one document to the near duplicates (all stay or all go) and don't cut each other's passages; elsewhere they
+stay apart. A null id stands for itself. Empty ``documents`` give no rows; with empty ``labels`` every score is one half, so
+all stay; with an empty ``benchmark`` all stay.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +35,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth overlaps with the benchmark."""
+    """Documents without a window of the benchmark: one item is enough to go, however long the document."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
