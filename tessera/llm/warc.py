@@ -8,13 +8,15 @@ table and one frame; a reader of all goes frame by frame. Tools that know only Z
 skip both frames.
 
 Payloads that occur again are written once: the record with the smallest id is a
-response, the others are revisits without a payload that name it.
+response, the others are revisits without a payload that name it. Only digests meet by
+payload; a payload itself travels under its own record's key, so copies never gather.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import os
 import struct
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bound_batches, shared_dir
+from tessera.llm.common import bound_batches, materialize, shared_dir
 
 #: Fixed values of the seekable format: skippable frame numbers, footer mark.
 INDEX_FRAME, TABLE_FRAME, FOOTER_MARK = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -102,33 +104,51 @@ class Bundle:
 
 
 class BundleReader:
-    """Random and sequential access to a bundle, by ranges of bytes only."""
+    """Random and sequential access to a bundle (bytes, or an open file) by ranges of bytes only.
 
-    def __init__(self, data: bytes) -> None:
-        self._data = data
-        n, _, mark = struct.unpack_from("<IBI", data, len(data) - 9)
+    ``index`` has the places of each record id: records of one id, or without one (''), are all there.
+    """
+
+    def __init__(self, source) -> None:
+        self._file = io.BytesIO(source) if isinstance(source, bytes) else source
+        size = self._file.seek(0, 2) if isinstance(source, bytes) else self._file.size()
+        n, _, mark = struct.unpack("<IBI", self._range(size - 9, 9))
         if mark != FOOTER_MARK:
             raise ValueError("no seek table at the end")
-        start = len(data) - 9 - 8 * n
+        table = self._range(size - 9 - 8 * n, 8 * n)
         self.frames: list[tuple[int, int, int]] = []  # place, compressed size, size
         at = 0
         for i in range(n):
-            packed, plain = struct.unpack_from("<II", data, start + 8 * i)
+            packed, plain = struct.unpack_from("<II", table, 8 * i)
             self.frames.append((at, packed, plain))
             at += packed
-        kind, size = struct.unpack_from("<II", data, at)
+        kind, length = struct.unpack("<II", self._range(at, 8))
         if kind != INDEX_FRAME:
             raise ValueError("no record map after the frames")
-        self.index = {r: (f, o, n) for r, f, o, n in json.loads(zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size]))}
+        self.index: dict[str, list[tuple[int, int, int]]] = {}
+        for r, f, o, n in json.loads(zstandard.ZstdDecompressor().decompress(self._range(at + 8, length))):
+            self.index.setdefault(r, []).append((f, o, n))
+
+    def _range(self, at: int, size: int) -> bytes:
+        self._file.seek(at)
+        data = self._file.read(size)
+        if len(data) != size:
+            raise ValueError("the bundle is shorter than its tables say")
+        return data
 
     def frame(self, i: int) -> bytes:
         at, packed, plain = self.frames[i]
-        return zstandard.ZstdDecompressor().decompress(self._data[at : at + packed], max_output_size=max(plain, 1))
+        return zstandard.ZstdDecompressor().decompress(self._range(at, packed), max_output_size=max(plain, 1))
+
+    def get_all(self, rid: str) -> Iterator[tuple[dict[str, str], bytes]]:
+        """The records of an id: each costs one frame."""
+        for f, offset, _ in self.index[rid]:
+            head, block, _ = parse(self.frame(f), offset)
+            yield head, block
 
     def get(self, rid: str) -> tuple[dict[str, str], bytes]:
-        f, offset, _ = self.index[rid]
-        head, block, _ = parse(self.frame(f), offset)
-        return head, block
+        """The first record of an id."""
+        return next(self.get_all(rid))
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], bytes]]:
         for i in range(len(self.frames)):
@@ -169,6 +189,7 @@ def _writer(folder: str):
 
         for batch in batches:
             for pid, url, html, kind, refers_to, size, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sha = base64.b32encode(bytes.fromhex(sha)).decode()
                 rid = "" if pid is None else str(pid)
                 target = "" if refers_to is None else str(refers_to)
                 bundle.add(rid, record(rid, kind, url or "", html or b"", size, sha, target))
@@ -180,32 +201,42 @@ def _writer(folder: str):
     return run
 
 
-def _base32_sha1(payloads: pa.Array) -> pa.Array:
-    return pa.array([digest(p or b"") for p in payloads.to_pylist()], pa.string())
-
-
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, _base32_sha1(batch.column(2))], [*batch.schema.names, "sha"])
+#: Copies from which on a payload's smallest id is sent to all tasks, if there are no more than so many payloads of the kind.
+COPIES, PAYLOADS, SALTS = 200, 100_000, 64
 
 
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
-    """(``pid``, ``url``, ``html``, ``kind``, ``refers_to``, ``size``, ``sha``): which record is a response, which a revisit.
+    """(``pid``, ``url``, ``html``, ``kind``, ``refers_to``, ``size``, ``sha``): which record is a response, which a revisit (its html is null).
 
-    Payloads are equal if their SHA-256 and length are. Those of fewer than ``least`` bytes
-    are always responses. Records with equal payloads and equal smallest ids are all
-    responses. A null id comes after all others: such a record revisits, if there is another.
+    Payloads are equal if their SHA-256 and length are; a null one is empty. Those of fewer than ``least`` bytes
+    are always responses. Records with equal payloads and equal smallest ids are all responses. A null id comes
+    after all others: such a record revisits, if there is another.
     """
     bound_batches(pages.sparkSession)
     payload = F.coalesce(F.encode(F.col(f"`{html_col}`"), "utf-8"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("pid"), F.col(f"`{url_col}`").alias("url"), payload.alias("html"))
-    rows = rows.select("*", F.octet_length("html").cast("long").alias("size"), F.sha2("html", 256).alias("h"))
-    # only payloads that occur twice travel back; most pages keep their place
-    again = rows.where(F.col("size") >= least).groupBy("h", "size").agg(F.min("pid").alias("least_pid"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisit = F.col("least_pid").isNotNull() & ~F.col("pid").eqNullSafe(F.col("least_pid"))
-    joined = rows.join(again, ["h", "size"], "left").select("pid", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("least_pid")).alias("refers_to"), "size")
-    out = T.StructType([*joined.schema.fields, T.StructField("sha", T.StringType())])
-    return joined.mapInArrow(_with_digest, out)
+    rows = rows.select("*", F.octet_length("html").cast("long").alias("size"), F.sha2("html", 256).alias("h"), F.sha1("html").alias("sha"))
+    slim = materialize(rows.select("pid", "url", "size", "h", "sha"))
+    first = slim.where(F.col("size") >= least).groupBy("h", "size").agg(F.min("pid").alias("least_pid"), F.count(F.lit(1)).alias("n"))
+    again = materialize(first.where("n > 1"))
+    many = max(COPIES, (slim.count() if again.limit(1).count() else 0) // PAYLOADS)
+    hot = F.broadcast(again.where(F.col("n") >= many).select(F.col("h").alias("hot_h"), F.col("size").alias("hot_size"), F.col("least_pid").alias("hot_pid")))
+    asked = slim.join(hot, (F.col("h") == F.col("hot_h")) & (F.col("size") == F.col("hot_size")), "left")
+    copies = asked.where("hot_h IS NOT NULL").withColumn("least_pid", F.col("hot_pid"))
+    others = asked.where("hot_h IS NULL").join(again.where(F.col("n") < many), ["h", "size"])
+    names = ["pid", "url", "size", "sha", "least_pid"]
+    copies = copies.select(*names).unionAll(others.select(*names)).where(F.col("least_pid").isNotNull() & ~F.col("pid").eqNullSafe(F.col("least_pid")))
+    revisits = copies.select("pid", "url", F.lit(None).cast("binary").alias("html"), F.lit("revisit").alias("kind"), F.col("least_pid").alias("refers_to"), "size", "sha")
+    # of a payload that occurs again only the first record keeps it; what occurs once stays where it is read
+    mark = again.where("least_pid IS NOT NULL").select(F.col("h").alias("fh"), F.col("size").alias("fs"), F.col("least_pid").alias("keep"))
+    same = (F.col("h") == F.col("fh")) & (F.col("size") == F.col("fs"))
+    if mark.count() <= PAYLOADS:
+        kept = rows.join(F.broadcast(mark), same, "left")
+    else:  # copies are spread over salts of their payload
+        salted = mark.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        kept = rows.withColumn("own", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own") == F.col("salt")), "left")
+    kept = kept.where(F.col("keep").isNull() | F.col("pid").eqNullSafe(F.col("keep")))
+    return kept.select("pid", "url", "html", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"), "size", "sha").unionAll(revisits)
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -229,10 +260,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     for batch in batches:
-        for content in batch.column(0).to_pylist():
+        for uri in batch.column(0).to_pylist():
             rows: list[tuple] = []
             held = 0
-            for head, block in BundleReader(content):
+            fs, path = _store(uri)
+            for head, block in BundleReader(fs.open_input_file(path)):
                 kind = head["warc-type"]
                 if kind == "response" and (digest(block) != head["warc-payload-digest"].removeprefix("sha1:") or len(block) != int(head["x-payload-length"])):
                     raise ValueError("a payload differs from its digest")
@@ -249,8 +281,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of a folder's bundles: ``record_id``, ``url``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``payload`` (null for revisits)."""
     kind = "record_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    # only the names are read here; the reader fetches tables and frames by ranges
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder)
-    return files.select("content").mapInArrow(_reader, kind)
+    return files.select("path").mapInArrow(_reader, kind)
 
 
 def archived(pages: DataFrame, folder: str | None = None, **names: str) -> DataFrame:

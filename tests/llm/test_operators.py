@@ -234,7 +234,12 @@ def test_overlaps_by_proximity(spark):
     assert got[0] == (set(), set()) and got[1][1] == {"i"}
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("small", [True, False])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(warc, "COPIES", 3)
+    else:
+        monkeypatch.setattr(warc, "PAYLOADS", 1)
     pages = [(3, "http://a/1", "<p>x</p>"), (1, "http://a/2", "<p>x</p>"), (2, None, None), (7, "u", ""), (5, "http://é/", "é" * 50_000), (9, "bad\nurl", "y\r\n\r\nWARC/1.1"), (1, "http://a/2", "<p>x</p>"), (None, "n", "<p>x</p>")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, sha int")
     folder = f"file://{tmp_path}/w"
