@@ -17,6 +17,7 @@ from tessera.operators import retrieval as V
 from tessera.plans.compiler import evaluate
 from tessera.plans.formula import family, parse
 from tessera.sources.panels import dense, monthly, with_vwap_returns
+from tessera.sources.store import stored
 from tessera.streaming.bars import tumbling
 from tessera.streaming.regime import batch
 
@@ -33,7 +34,7 @@ _Z = "zs AS (SELECT factor, asset_id, t_idx, (v - avg(v) OVER b) / CASE WHEN std
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = R.with_targets(with_vwap_returns(monthly(spark, sf_dir)), [R.Target("paper"), *[R.Target(f"h{h}", 1, h, "close_to_close") for h in (1, 2, 3)]])
-    return evaluate(dense(raw), FACTORS).withColumnRenamed("target_paper", "target")
+    return stored(spark, "monthly_factors", monthly(spark, sf_dir), lambda _: evaluate(dense(raw, unique=True), FACTORS).withColumnRenamed("target_paper", "target"))
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.catalog.base import PANEL_E, PANEL_M, QUERIES, SQL, q6, r6
 from tessera.functions.specs import KERNEL_DIFFERS, SPECS
 from tessera.plans.compiler import evaluate
-from tessera.sources.panels import daily, dense, monthly
+from tessera.sources.panels import daily, dense, dense_monthly
 
 X, Y, Z = "Mul(Sub($close, $open), 0.001)", "Mul(Sub($high, $low), 0.001)", "$volume"
 W = 6
@@ -112,9 +112,9 @@ v AS (SELECT asset_id, t_idx, {inner} AS v FROM q
 SELECT asset_id, t_idx, {q6('v')} AS v FROM v"""
 
 
-def _query(formula: str, mode: str, panel=monthly):
+def _query(formula: str, mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = evaluate(dense(panel(spark, sf_dir)), {"v": formula}, mode)
+        out = evaluate(dense_monthly(spark, sf_dir), {"v": formula}, mode)
         return out.select("asset_id", "t_idx", r6("v").alias("v"))
 
     return run
@@ -153,6 +153,13 @@ e1 AS (SELECT asset_id, t_idx, list_reduce(l, lambda a, e: {_step}) AS e1 FROM (
 e2 AS (SELECT asset_id, t_idx, e1, list_reduce(l, lambda a, e: {_step}) AS e2 FROM (SELECT *, list(e1) {_RUN} AS l FROM e1))
 SELECT asset_id, t_idx, {q6('2 * e1 - e2')} AS v FROM e2"""
 
+_STEP = f"pow(CASE WHEN walked > 1e-10 THEN moved / walked ELSE 0.0 END * {2 / 3 - 2 / 31} + {2 / 31}, 2)"
+SQL["op_KAMA_kernel"] = f"""{_HEAD},
+d AS (SELECT *, abs(x - lag(x) OVER o) AS d, abs(x - lag(x, {W}) OVER o) AS moved FROM a WINDOW o AS (PARTITION BY asset_id ORDER BY t_idx)),
+s AS (SELECT asset_id, t_idx, x, {_STEP} AS s FROM (SELECT *, sum(coalesce(d, 0)) OVER w AS walked FROM d WINDOW {_WIN('w', W)})),
+l AS (SELECT asset_id, t_idx, list({{'x': x, 's': s, 't': t_idx}}) {_RUN} AS l FROM s)
+SELECT asset_id, t_idx, {q6(f"list_reduce(l, lambda a, e: {{'x': CASE WHEN e.t < {W} OR a.x IS NULL OR e.x IS NULL THEN e.x ELSE a.x + e.s * (e.x - a.x) END, 's': e.s, 't': e.t}}).x")} AS v FROM l"""
+
 #: Whole formulas: several stages planned together over the sparser panel.
 _FORMULAS = {
     "reversal": "Neg(CsRank(Delta($close, 2)))",
@@ -163,7 +170,7 @@ _FORMULAS = {
 
 
 def formulas_together(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluate(dense(daily(spark, sf_dir)), _FORMULAS)
+    out = evaluate(dense(daily(spark, sf_dir), unique=True), _FORMULAS)
     return out.select("asset_id", "t_idx", *[r6(k).alias(k) for k in _FORMULAS])
 
 

@@ -10,6 +10,7 @@ from tessera.operators import metrics as M
 from tessera.operators import preparing as P
 from tessera.plans.compiler import evaluate
 from tessera.sources.panels import daily, dense, monthly, with_vwap_returns
+from tessera.sources.store import stored
 
 SIGNAL = "CsRank(Div(Sub($close, Mean($close, 6)), Std($close, 6)))"
 _SIGNAL_SQL = f"""{PANEL_M},
@@ -26,7 +27,7 @@ ic AS (SELECT t_idx, count(*) AS n, CASE WHEN count(*) >= 5 THEN CASE WHEN var_p
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset_id, t_idx, datetime, signal, target, returns) of the monthly panel."""
     raw = P.with_targets(with_vwap_returns(monthly(spark, sf_dir)))
-    return evaluate(dense(raw), {"signal": SIGNAL}).select("asset_id", "t_idx", "datetime", "signal", F.col("target_paper").alias("target"), "returns")
+    return evaluate(stored(spark, "monthly_target", monthly(spark, sf_dir), lambda _: dense(raw, unique=True)), {"signal": SIGNAL}).select("asset_id", "t_idx", "datetime", "signal", F.col("target_paper").alias("target"), "returns")
 
 
 @query("rank_ic_monthly", f"WITH {_SIGNAL_SQL} SELECT t_idx, n, {q6('ic')} AS ic FROM ic")

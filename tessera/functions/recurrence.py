@@ -17,24 +17,17 @@ def ema(x: np.ndarray, w: int, carry: bool = False) -> np.ndarray:
     return out
 
 
-def kaufman(x: np.ndarray, w: int, fast: int = 2, slow: int = 30) -> np.ndarray:
-    """Kaufman's adaptive average: the step follows the ratio of the net move to the path over w bars."""
+def adaptive(x: np.ndarray, step: np.ndarray, w: int) -> np.ndarray:
+    """Each bar goes its own step from the last value towards its value. The first w bars, and bars after a missing one, are their own."""
     out = np.array(x, float)
-    quick, lazy = 2.0 / (fast + 1), 2.0 / (slow + 1)
-    if x.shape[1] <= w:
-        return out
-    path = np.cumsum(np.nan_to_num(np.abs(np.diff(x, axis=1, prepend=x[:, :1]))), axis=1)
-    for t in range(w, x.shape[1]):
-        moved, walked = np.abs(x[:, t] - x[:, t - w]), path[:, t] - path[:, t - w]
-        ratio = np.divide(moved, walked, out=np.zeros(len(x)), where=walked > 1e-10)
-        step = (ratio * (quick - lazy) + lazy) ** 2
-        new = out[:, t - 1] + step * (x[:, t] - out[:, t - 1])
-        out[:, t] = np.where(np.isnan(out[:, t - 1]) | np.isnan(x[:, t]), x[:, t], new)
+    for t in range(max(w, 1), x.shape[1]):
+        go = ~(np.isnan(out[:, t - 1]) | np.isnan(x[:, t]))
+        out[go, t] = (1 - step[go, t]) * out[go, t - 1] + step[go, t] * x[go, t]
     return out
 
 
-def recurrence(op: str, x: np.ndarray, w: int, kernel: bool) -> np.ndarray:
-    if op == "KAMA" and kernel:
-        return kaufman(x, w)
+def recurrence(op: str, x: np.ndarray, w: int, kernel: bool, step: np.ndarray | None = None) -> np.ndarray:
+    if step is not None:
+        return adaptive(x, step, w)
     first = ema(x, w, kernel)
     return 2 * first - ema(first, w, kernel) if op == "DEMA" else first

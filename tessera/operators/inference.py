@@ -7,7 +7,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import T
@@ -33,7 +33,18 @@ def newey_west(df: DataFrame, value: str, lags: int | None = None) -> DataFrame:
     var = F.col("g0") + sum((2 * (1 - k / (lags + 1)) * F.coalesce(F.col(f"g{k}"), F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0))
     se = F.sqrt(F.greatest(var, F.lit(0.0))) / n if n else F.lit(None).cast("double")
     out = g.select(F.lit(n).cast("long").alias("n"), F.lit(mean).cast("double").alias("mean"), se.alias("se"))
-    return out.withColumn("t", F.try_divide(F.col("mean"), F.col("se")))
+    out = out.withColumn("t", F.try_divide(F.col("mean"), F.col("se")))
+    return out.withColumn("p", two_sided(F.col("t")))
+
+
+def two_sided(z: Column) -> Column:
+    """Two-sided normal p-value. The complement of the error function comes from a rational form (error below 1.2e-7)."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    poly = F.lit(0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = poly * t + c
+    return t * F.exp(-x * x + poly)
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:

@@ -21,28 +21,32 @@ def long_form(wide: DataFrame, factors: list[str]) -> DataFrame:
     return wide.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("v")) for f in factors])).alias("s")).select("s.factor", *KEYS, "s.v").where("v IS NOT NULL")
 
 
-def _pairs(values: DataFrame) -> DataFrame:
+def _pairs(values: DataFrame, new: list[str] | None = None) -> DataFrame:
     """(a, b, asset_id, t_idx, x, y) of each cell's pairs of factors: the factors are computed once, and a cell holds a library at most."""
     cells = values.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("factor", "v"))).alias("m"))
 
     def after(p, i):
-        return F.transform(F.slice("m", i + 2, F.size("m")), lambda q: F.struct(p["factor"].alias("a"), q["factor"].alias("b"), p["v"].alias("x"), q["v"].alias("y")))
+        rest = F.slice("m", i + 2, F.size("m"))
+        if new is not None:
+            rest = F.filter(rest, lambda q: p["factor"].isin(new) | q["factor"].isin(new))
+        return F.transform(rest, lambda q: F.struct(p["factor"].alias("a"), q["factor"].alias("b"), p["v"].alias("x"), q["v"].alias("y")))
 
     return cells.select(*KEYS, F.explode(F.flatten(F.transform("m", after))).alias("s")).select("s.a", "s.b", *KEYS, "s.x", "s.y")
 
 
-def dependence(values: DataFrame, method: str = "spearman", least: int = 3) -> DataFrame:
+def dependence(values: DataFrame, method: str = "spearman", least: int = 3, new: list[str] | None = None) -> DataFrame:
     """(a, b, rho): the mean over bars of absolute correlations between pairs of factors.
 
     spearman and pearson take the bars with ``least`` common assets, ranks being those of the
     common assets. signed takes ranks within each factor first, needs five assets, and makes
-    the mean absolute at the end. distance is the distance correlation.
+    the mean absolute at the end. distance is the distance correlation. With ``new`` only pairs
+    with one of these factors are made.
     """
     if method == "signed":
         ranked = values.select("factor", *KEYS, average_rank("v", "factor", T).alias("v"))
-        per = _pairs(ranked).groupBy("a", "b", T).agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("r")).where("n >= 5")
+        per = _pairs(ranked, new).groupBy("a", "b", T).agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("r")).where("n >= 5")
         return per.groupBy("a", "b").agg(F.abs(F.avg("r")).alias("rho"))
-    pairs = _pairs(values)
+    pairs = _pairs(values, new)
     if method == "spearman":
         pairs = pairs.select("a", "b", T, average_rank("x", "a", "b", T).alias("x"), average_rank("y", "a", "b", T).alias("y"))
     if method in ("spearman", "pearson"):
@@ -71,8 +75,8 @@ def _distance(pairs: DataFrame) -> DataFrame:
 
 
 def extend(known: DataFrame, values: DataFrame, new: list[str], method: str = "spearman") -> DataFrame:
-    """The pair table with the pairs of new factors added; old pairs aren't computed again."""
-    fresh = dependence(values, method).where(F.col("a").isin(new) | F.col("b").isin(new))
+    """The pair table with the pairs of new factors added; of each cell only the pairs with a new factor are made."""
+    fresh = dependence(values, method, new=new)
     return known.where(~F.col("a").isin(new) & ~F.col("b").isin(new)).unionByName(fresh)
 
 

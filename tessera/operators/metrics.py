@@ -82,34 +82,45 @@ def quantile_returns(df: DataFrame, signal: str = "signal", target: str = "targe
     return row.withColumns({"long_short": cells[-1] - cells[0], "monotonicity": F.when((spread >= TINY) & (low > TINY), top / low).otherwise(0.0)})
 
 
-def _top(df: DataFrame, signal: str, k: Column, least: Column) -> DataFrame:
-    """(t_idx, asset_id, k): the k highest of each usable bar; ties go to the larger asset."""
-    rows = df.select("asset_id", T, finite(F.col(signal)).alias("x"))
-    valid = F.count("x").over(Window.partitionBy(T))
-    place = F.row_number().over(Window.partitionBy(T).orderBy(F.col("x").desc_nulls_last(), F.desc("asset_id")))
-    return rows.withColumns({"valid": valid, "place": place}).withColumn("k", k).where(least & (F.col("place") <= F.col("k"))).select(T, "asset_id", "k")
+def _membership(df: DataFrame, signal: str, k: Column, least: Column, *more: Column) -> DataFrame:
+    """Rows with ``x``, ``n`` (valid values of the bar), ``rank`` (average, ascending), ``k``, ``top`` and ``again``.
 
+    ``top`` marks the k highest of a usable bar (ties go to the larger asset), ``again`` those that were so in the bar
+    before. Bars and assets are each one shuffle; the places come from one sort of a bar.
+    """
+    by = Window.partitionBy(T)
+    rows = df.select("asset_id", T, finite(F.col(signal)).alias("x"), *more)
+    up = by.orderBy(F.asc_nulls_first("x"), "asset_id")
+    rows = rows.withColumns({"n": F.count("x").over(by), "place": F.count(F.lit(1)).over(by) - F.row_number().over(up) + 1, "rank": average_rank("x", T)})
+    # nulls rank below all values
+    rows = rows.withColumn("rank", F.when(F.col("x").isNotNull(), F.col("rank") - F.count(F.when(F.col("x").isNull(), 1)).over(by)))
+    rows = rows.withColumn("k", k).withColumn("top", F.col("x").isNotNull() & least & (F.col("place") <= F.col("k")))
+    line = Window.partitionBy("asset_id").orderBy(T)
+    return rows.withColumn("again", F.col("top") & F.coalesce(F.lag("top").over(line) & (F.lag(T).over(line) == F.col(T) - 1), F.lit(False)))
 
-def _overlap(top: DataFrame) -> DataFrame:
-    """(t_idx, k, k0, common): overlap of each bar's set with that of the bar before, where both are usable."""
-    before = top.select((F.col(T) + 1).alias(T), "asset_id", F.col("k").alias("k0"))
-    common = top.join(before, [T, "asset_id"]).groupBy(T).agg(F.count(F.lit(1)).alias("common"))
-    sizes = top.groupBy(T).agg(F.max("k").alias("k")).join(before.groupBy(T).agg(F.max("k0").alias("k0")), T)
-    return sizes.join(common, T, "left").withColumn("common", F.coalesce("common", F.lit(0)))
+
+def _sets(rows: DataFrame, *more: Column) -> DataFrame:
+    """(t_idx, k, k0, common, ...): a bar's set, that of the bar before (null where a bar isn't usable), and what they share."""
+    bars = rows.groupBy(T).agg(F.max(F.when(F.col("top"), F.col("k"))).alias("k"), F.sum(F.col("again").cast("int")).alias("common"), *more)
+    line = Window.orderBy(T)  # a row a bar
+    return bars.withColumn("k0", F.when(F.lag(T).over(line) == F.col(T) - 1, F.lag("k").over(line)))
 
 
 def turnover(df: DataFrame, signal: str = "signal", share: float = 0.2) -> DataFrame:
     """One row: mean share of the top set (a share of all assets) that changes from bar to bar."""
     assets = df.agg(F.greatest(F.floor(F.countDistinct("asset_id") * share), F.lit(1)).cast("int").alias("k0")).first().k0
-    top = _top(df, signal, F.lit(assets), F.col("valid") >= assets)
-    return _overlap(top).agg(F.coalesce(F.avg(1 - F.col("common") / F.col("k")), F.lit(0.0)).alias("turnover"))
+    got = _sets(_membership(df, signal, F.lit(assets), F.col("n") >= assets)).where("k IS NOT NULL AND k0 IS NOT NULL")
+    return got.agg(F.coalesce(F.avg(1 - F.col("common") / F.col("k")), F.lit(0.0)).alias("turnover"))
+
+
+def _changed() -> Column:
+    return F.coalesce((F.col("k") + F.col("k0") - 2 * F.col("common")) / (2 * F.col("k")), F.lit(0.0))
 
 
 def turnover_series(df: DataFrame, signal: str = "signal", share: float = 0.2) -> DataFrame:
     """(t_idx, turnover): half the symmetric difference over k, k a share of the bar's valid assets; 0 after an unusable bar."""
-    k = F.greatest(F.floor(F.col("valid") * share), F.lit(1)).cast("int")
-    got = _overlap(_top(df, signal, k, F.col("valid") >= 5))
-    return df.select(T).distinct().join(got, T, "left").select(T, F.coalesce((F.col("k") + F.col("k0") - 2 * F.col("common")) / (2 * F.col("k")), F.lit(0.0)).alias("turnover"))
+    k = F.greatest(F.floor(F.col("n") * share), F.lit(1)).cast("int")
+    return _sets(_membership(df, signal, k, F.col("n") >= 5)).select(T, _changed().alias("turnover"))
 
 
 def factor_stats(df: DataFrame, signal: str = "signal", target: str = "target") -> DataFrame:
@@ -123,9 +134,24 @@ def factor_stats(df: DataFrame, signal: str = "signal", target: str = "target")
 
 
 def backtest(df: DataFrame, signal: str = "signal", target: str = "target", cost_bps: float = 4.0) -> DataFrame:
-    """(t_idx, q1..q5, gross, turnover, net, cumulative): quintiles by percentile; net of twice the cost of the turnover."""
-    quint = _buckets(df, signal, target, 5, True).groupBy(T).agg(*[F.max(F.when(F.col("q") == k, F.col("r"))).alias(f"q{k}") for k in range(1, 6)])
-    out = turnover_series(df, signal).join(quint, T, "left").withColumn("gross", F.col("q5") - F.col("q1"))
+    """(t_idx, q1..q5, gross, turnover, net, cumulative): quintiles by percentile; net of twice the cost of the turnover.
+
+    Ranks, the top set and its change are carried by one frame, which is read once and summed once by bar.
+    """
+    k = F.greatest(F.floor(F.col("n") * 0.2), F.lit(1)).cast("int")
+    rows = _membership(df, signal, k, F.col("n") >= 5, finite(F.col(target)).alias("y"))
+    share = (F.col("rank") - 1) / F.greatest(F.col("n") - 1, F.lit(1))
+    q = F.lit(1)
+    for cut in range(1, 5):
+        q = q + (share >= cut / 5).cast("int")
+    rows = rows.withColumn("q", F.when(F.col("x").isNotNull() & (F.col("n") >= 5), q))
+
+    def mean(i: int) -> Column:
+        own = F.col("q") == i
+        return F.when(F.count(F.when(own, F.col("y"))) == F.count(F.when(own, 1)), F.avg(F.when(own, F.col("y")))).alias(f"q{i}")
+
+    out = _sets(rows, *[mean(i) for i in range(1, 6)]).withColumn("turnover", _changed()).withColumn("gross", F.col("q5") - F.col("q1"))
+    out = out.select(T, "turnover", *[f"q{i}" for i in range(1, 6)], "gross")
     out = out.withColumn("net", F.col("gross") - 2 * cost_bps / 10_000 * F.col("turnover"))
     return out.withColumn("cumulative", F.coalesce(F.sum("net").over(Window.orderBy(T).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
 

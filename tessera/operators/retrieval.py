@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.store import written
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and underscores."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda t: t != "")
 
 
-def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
-
-
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(id, score) of the documents with a query term. Only the query's terms leave the scan; lengths are summed with them."""
+    """(id, score) of the documents with a query term.
+
+    Texts are read once: lengths and counts of the query's terms, a few numbers a document, are written to the shared
+    folder, and both the totals and the scores come from there.
+    """
     terms = sorted({t for t in "".join(c if c.isascii() and (c.isalnum() or c == "_") else " " for c in query.lower()).split()})
-    own = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
-    counted = own.select("id", F.size("ts").alias("len"), F.array(*[F.struct(F.lit(t).alias("term"), _count("ts", t).alias("tf")) for t in terms]).alias("tfs"))
-    total = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col("tfs")[i]["tf"] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
+    own = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("x"))
+    word = lambda t: F.regexp_count("x", F.lit(rf"(?<![a-z0-9_]){t}(?![a-z0-9_])"))
+    counted = written(own.select("id", F.regexp_count("x", F.lit("[a-z0-9_]+")).alias("len"), *[word(t).alias(f"tf{i}") for i, t in enumerate(terms)]))
+    total = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col("tfs")[i]["tf"], F.col(f"df{i}")
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return counted.join(F.broadcast(total)).select("id", score.alias("score")).where("score > 0")
@@ -61,12 +64,25 @@ def semantic_duplicates(vectors: DataFrame, least: float = 0.92, id_col: str = "
     return pairs.select("a", "b", (dot(F.col("v"), F.col("w")) / (F.col("n") * F.col("m"))).alias("score")).where(F.col("score") >= least)
 
 
+def ranked(ranking: DataFrame, parts: int = 64) -> DataFrame:
+    """(id, score, place) of a whole (id, score) table, best first and ties by id, without a single-task sort.
+
+    Scores are cut into ranges, ranked within each, and each range begins after the rows of those above it.
+    """
+    cuts = ranking.agg(F.percentile_approx("score", [i / parts for i in range(1, parts)], 10_000).alias("c"))
+    part = ranking.join(F.broadcast(cuts)).select("id", "score", F.size(F.filter(F.coalesce("c", F.array().cast("array<double>")), lambda c: c > F.col("score"))).alias("part"))
+    part = written(part)
+    before = part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "id"))
+    return part.withColumn("own", place).join(F.broadcast(before), "part").select("id", "score", (F.col("own") + F.col("before")).alias("place"))
+
+
 def fuse(*rankings: DataFrame, k: int = 60) -> DataFrame:
     """(id, score): reciprocal rank fusion of (id, score) tables, ties within one by id."""
-    ranked = [r.select("id", (1.0 / (k + F.row_number().over(Window.orderBy(F.desc("score"), "id")))).alias("s")) for r in rankings]
-    out = ranked[0]
-    for r in ranked[1:]:
-        out = out.unionByName(r)
+    out = None
+    for r in rankings:
+        own = ranked(r).select("id", (1.0 / (k + F.col("place"))).alias("s"))
+        out = own if out is None else out.unionByName(own)
     return out.groupBy("id").agg(F.sum("s").alias("score"))
 
 
@@ -85,24 +101,23 @@ def pattern_score(success: Column, tried: Column, saturated: Column) -> Column:
     return success * (1 + F.log1p(tried)) * F.when(saturated >= 1, 0.4).when(saturated > 0, 1 - 0.2 * saturated).otherwise(1.0)
 
 
-def connected(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(node, root): components of an edge table (a, b) by the smallest label, with pointer jumping; rounds are cut by checkpoints."""
-    spark = edges.sparkSession
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root): components of an edge table (a, b) by the smallest label, with pointer jumping, until no label changes.
+
+    Rounds are written to the shared folder. Labels only fall, so rounds end.
+    """
+    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or __import__("tempfile").mkdtemp())
     before = None
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("m"))
         label = label.join(near, label.node == near.a, "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = label.select(F.col("node").alias("j"), F.col("root").alias("r"))
-        label = label.join(jump, label.root == jump.j, "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root")).checkpoint()
+        label = written(label.join(jump, label.root == jump.j, "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root")))
         now = label.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return label
         before = now
-    return label
 
 
 def neighbours(edges: DataFrame, start, hops: int = 2) -> DataFrame:

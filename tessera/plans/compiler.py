@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,11 @@ from tessera.functions.recurrence import recurrence
 from tessera.functions.specs import CROSS, CUM, ELEM, REC, TIME, Registry
 from tessera.plans.formula import Node, column_of, parse
 
-#: Assets of a recurrence that meet in one task are those of one bucket.
-BUCKETS_PER_PARTITION = 1
+#: Assets of a recurrence that meet in one task are those of one bucket; a bucket has about so many bytes of the planned panel.
+BUCKET_BYTES = 64 << 20
+#: Bounds of the step of an adaptive average, of which its efficiency ratio chooses: those of averages over 2 and 30 bars.
+FAST, SLOW = 2 / 3, 2 / 31
+
 
 
 def _expand(node: Node, registry: Registry, kernel: bool) -> Node:
@@ -117,6 +120,8 @@ class Plan:
             if kind == REC:
                 source = f"{name}_in"
                 df = df.withColumn(source, args[0].cast("double"))
+                if n.op == "KAMA" and self.kernel:
+                    df = self._with_step(df, source, int(n.param("window")))
                 loops.append((name, n, source))
             elif kind == CUM:
                 new[name] = running(n.op, args[0], self.frame, self.kernel)
@@ -129,12 +134,22 @@ class Plan:
             df = self._recur(df, loops)
         return df.select("*", *[c.alias(k) for k, c in new.items()]) if new else df
 
+    def _with_step(self, df: DataFrame, source: str, w: int) -> DataFrame:
+        """``df`` with the step of an adaptive average: the net move over ``w`` bars by the path walked, put between SLOW and FAST, squared."""
+        line = Window.partitionBy(self.frame.asset).orderBy(self.frame.t)
+        x, legs = F.col(source), f"{source}_leg"
+        df = df.withColumn(legs, F.coalesce(F.abs(x - F.lag(x).over(line)), F.lit(0.0)))
+        walked, moved = F.sum(legs).over(line.rowsBetween(1 - w, 0)), F.abs(x - F.lag(x, w).over(line))
+        ratio = F.when(walked > 1e-10, moved / walked).otherwise(0.0)
+        return df.withColumn(f"{source}_step", F.pow(ratio * (FAST - SLOW) + SLOW, F.lit(2))).drop(legs)
+
     def _recur(self, df: DataFrame, loops: list[tuple[str, Node, str]]) -> DataFrame:
-        """Recurrences of a bucket of assets as one matrix: a loop over bars, not over rows."""
+        """Recurrences of a bucket of assets as one matrix: a loop over bars, not over rows. Buckets follow the panel's size."""
         asset, t, kernel = self.frame.asset, self.frame.t, self.kernel
         steps = [(name, n.op, int(n.param("window")), source) for name, n, source in loops]
         schema = T.StructType([*df.schema.fields, *[T.StructField(s[0], T.DoubleType()) for s in steps]])
-        buckets = BUCKETS_PER_PARTITION * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, 1 << 20) if size < 1 << 60 else 0)
 
         def run(table: pa.Table) -> pa.Table:
             table = table.drop_columns(["__bucket"]).sort_by([(asset, "ascending"), (t, "ascending")])
@@ -145,7 +160,11 @@ class Plan:
             for name, op, w, source in steps:
                 x = np.full(shape, np.nan)
                 x[row, bar] = table.column(source).to_numpy()
-                got = recurrence(op, x, w, kernel)[row, bar]
+                step = None
+                if f"{source}_step" in table.column_names:
+                    step = np.full(shape, np.nan)
+                    step[row, bar] = table.column(f"{source}_step").to_numpy()
+                got = recurrence(op, x, w, kernel, step)[row, bar]
                 table = table.append_column(name, pa.array(got, mask=np.isnan(got)))
             return table
 

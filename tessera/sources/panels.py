@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.store import stored
+
 #: Columns that every market panel has.
 REQUIRED = ("datetime", "asset_id", "open", "high", "low", "close", "volume", "amount")
 #: Other names of those columns, in lower case.
@@ -55,14 +57,15 @@ def load(spark: SparkSession, path: str | list[str], kind: str | None = None, as
     return df
 
 
-def dense(panel: DataFrame, asset: str = "asset_id", time: str = "datetime") -> DataFrame:
-    """Every asset with every bar: ``t_idx`` counts bars from 0. Of rows with one key the last by value of the other columns stays.
+def dense(panel: DataFrame, asset: str = "asset_id", time: str = "datetime", unique: bool = False) -> DataFrame:
+    """Every asset with every bar: ``t_idx`` counts bars from 0. Of rows with one key the last by value of the other columns stays,
+    unless the caller knows that keys are ``unique``.
 
     The calendar has one row a bar, however many assets there are; assets are joined to it by bar, never crossed.
     It is broadcast up to a million bars.
     """
     others = [c for c in panel.columns if c not in (asset, time)]
-    last = panel.groupBy(asset, time).agg(F.max(F.struct(*others)).alias("__v")).select(asset, time, *[F.col(f"__v.`{c}`").alias(c) for c in others])
+    last = panel if unique else panel.groupBy(asset, time).agg(F.max(F.struct(*others)).alias("__v")).select(asset, time, *[F.col(f"__v.`{c}`").alias(c) for c in others])
     calendar = bars(panel, time)
     count = calendar.count()
     grid = panel.select(asset).distinct().select(asset, F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0)))).alias("t_idx"))
@@ -77,17 +80,26 @@ def bars(panel: DataFrame, time: str = "datetime") -> DataFrame:
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers by month of shipping: unit prices as prices, quantity as volume, extended price as amount."""
+    """Suppliers by month of shipping: unit prices as prices, quantity as volume, extended price as amount. Stored once in an application."""
+
+    def bars_of(li: DataFrame) -> DataFrame:
+        price = F.col("l_extendedprice") / F.col("l_quantity")
+        order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+        return ohlcv(li, F.lpad(F.col("l_suppkey").cast("string"), 8, "0"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz"), price, order, F.sum("l_quantity"), F.sum("l_extendedprice"))
+
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    return ohlcv(li, F.lpad(F.col("l_suppkey").cast("string"), 8, "0"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz"), price, order, F.sum("l_quantity"), F.sum("l_extendedprice"))
+    return stored(spark, "monthly", li, bars_of)
+
+
+def dense_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense form of ``monthly``, stored once in an application."""
+    return stored(spark, "dense_monthly", monthly(spark, sf_dir), lambda p: dense(p, unique=True))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users by day: event values as prices, their number as volume, their sum as amount."""
+    """Users by day: event values as prices, their number as volume, their sum as amount. Stored once in an application."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "value", "event_id")
-    return ohlcv(ev, F.lpad(F.col("user_id").cast("string"), 8, "0"), F.date_trunc("day", "ts").cast("timestamp_ntz"), F.col("value"), F.struct("ts", "event_id"), F.count("value").cast("double"), F.sum("value"))
+    return stored(spark, "daily", ev, lambda ev: ohlcv(ev, F.lpad(F.col("user_id").cast("string"), 8, "0"), F.date_trunc("day", "ts").cast("timestamp_ntz"), F.col("value"), F.struct("ts", "event_id"), F.count("value").cast("double"), F.sum("value")))
 
 
 def ohlcv(df: DataFrame, asset: Column, time: Column, price: Column, order: Column, volume: Column, amount: Column) -> DataFrame:
