@@ -64,7 +64,7 @@ def dependence_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dependence_distance")
 def dependence_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.dependence(values(spark, sf_dir), "distance")
+    return L.dependence(values(spark, sf_dir), "distance").select("a", "b", r6("rho").alias("rho"))
 
 
 @query("library_diagnostics", f"WITH {_F}, {_SP} SELECT count(*) AS pairs, {q6('avg(rho)')} AS mean_rho, {q6('max(rho)')} AS max_rho, {q6('quantile_cont(rho, 0.95)')} AS p95_rho, {q6('avg((rho > 0.3)::INT)')} AS saturation FROM dp")
@@ -109,7 +109,7 @@ def composite_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("orthogonal_factors")
 def orthogonal_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.orthogonal(values(spark, sf_dir), ["f1", "f2", "f3"])
+    return L.orthogonal(values(spark, sf_dir), ["f1", "f2", "f3"]).withColumn("v", r6("v"))
 
 
 @query("factor_ic_statistics", f"WITH {_F}, {_FIC} SELECT factor, count(ic) AS n_bars, {q6('avg(ic)')} AS ic_mean, {q6('avg(ic) / stddev_samp(ic)')} AS icir FROM fi GROUP BY factor")
@@ -226,14 +226,14 @@ def residual_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("comomentum")
 def comomentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.comomentum(wide(spark, sf_dir), "f1")
+    return P.comomentum(wide(spark, sf_dir), "f1").select("end", r6("comomentum").alias("comomentum"))
 
 
 @query("consensus_overlap")
 def consensus_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = wide(spark, sf_dir)
     c = w.groupBy("t_idx").agg(F.avg("target").alias("market"), F.stddev_samp("target").alias("spread"))
-    return P.consensus_overlap(w.withColumnRenamed("f1", "signal"), c, ["market", "spread"])
+    return P.consensus_overlap(w.withColumnRenamed("f1", "signal"), c, ["market", "spread"]).withColumn("correlation", r6("correlation"))
 
 
 @query("trade_costs", f"""SELECT o_orderkey, {q6('0.001 * abs(v) * (0.02 * (0.1 * pow(abs(v) / 1000000, 0.5) + 0.2 * abs(v) / 1000000) + 0.0003 + CASE WHEN v < 0 THEN 0.001 ELSE 0.0 END)')} AS cost
@@ -385,7 +385,8 @@ def reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dependence_profile")
 def dependence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.dependence_profile(values(spark, sf_dir))
+    got = S.dependence_profile(values(spark, sf_dir))
+    return got.select(*[F.col(c) if c in ("a", "b") else r6(c).alias(c) for c in got.columns])
 
 
 @query("marginal_utility")

@@ -139,7 +139,8 @@ def regime_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("factor_stats")
 def factor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.factor_stats(signals(spark, sf_dir))
+    got = M.factor_stats(signals(spark, sf_dir))
+    return got.select("n_bars", *[r6(c).alias(c) for c in got.columns if c != "n_bars"])
 
 
 # -- panel preparation --

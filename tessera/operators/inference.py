@@ -14,6 +14,8 @@ from tessera.operators.metrics import T
 
 _N = NormalDist()
 EULER = 0.5772156649015329
+#: Coefficients of the rational form, from the highest power of t down.
+ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
 
 
 def series(df: DataFrame, value: str) -> np.ndarray:
@@ -41,8 +43,8 @@ def two_sided(z: Column) -> Column:
     """Two-sided normal p-value. The complement of the error function comes from a rational form (error below 1.2e-7)."""
     x = F.abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.5 * x)
-    poly = F.lit(0.17087277)
-    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+    poly = F.lit(ERFC[0])
+    for c in ERFC[1:]:
         poly = poly * t + c
     return t * F.exp(-x * x + poly)
 

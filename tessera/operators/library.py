@@ -183,6 +183,24 @@ def orthogonal_escape(g: np.ndarray, span: list[int], candidate: int, energy: fl
     return float(np.clip(1 - inside / own, 0, 1))
 
 
+def residual_alignment(g: np.ndarray, span: list[int], candidate: int, target: int, energy: float = 0.99) -> float:
+    """Absolute cosine of a factor with a target, both without what lies in the main directions of others. All from the Gram matrix."""
+    inner = {(x, y): g[x, y] for x in (candidate, target) for y in (candidate, target)}
+    if span:
+        values, vectors = np.linalg.eigh(g[np.ix_(span, span)])
+        order = np.argsort(values)[::-1]
+        values, vectors = np.maximum(values[order], 0), vectors[:, order]
+        if values.sum() > 0:
+            need = int(np.searchsorted(np.cumsum(values) / values.sum(), energy) + 1)
+            for i in range(min(need, len(values))):
+                if values[i] > 1e-10:
+                    along = {x: float(vectors[:, i] @ g[span, x]) for x in (candidate, target)}
+                    for x, y in inner:
+                        inner[x, y] -= along[x] * along[y] / values[i]
+    size = inner[candidate, candidate] * inner[target, target]
+    return float(np.clip(abs(inner[candidate, target]) / np.sqrt(size), 0, 1)) if size > 1e-30 else 0.0
+
+
 def jump_worth(compression: float, escape: float, alignment: float, threshold: float = 0.45) -> tuple[float, bool]:
     """Whether a factor is worth leaving the library's span for: weights .3, .45 and .25."""
     score = 0.3 * compression + 0.45 * escape + 0.25 * alignment

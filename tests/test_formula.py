@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.specs import KERNEL_DIFFERS, SPECS, Registry
 from tessera.plans.compiler import Plan
-from tessera.plans.formula import canonical, digest, family, from_qlib, parse, to_qlib, try_parse
+from tessera.plans.formula import canonical, digest, distinct, family, from_qlib, mechanism, parse, to_qlib, try_parse
 
 
 def test_there_are_84_operators():
@@ -39,12 +39,19 @@ def test_canonical_form():
 
 
 def test_families_and_other_language():
-    assert family(parse("Corr($close, $volume, 5)")) == "dependence"
-    assert family(parse("Delta($close, 2)")) == "momentum"
+    assert family(parse("Corr($close, $volume, 5)")) == "PV-Correlation" and family(parse("Corr($close, $open, 5)")) == "Other"
+    assert family(parse("Delta($close, 2)")) == "Momentum" and mechanism("Momentum") == "Trend/Momentum" and mechanism("Price-Volume") == "Price-Volume"
+    assert family(parse("CsRank($amt)")) == family(parse("CsRank($amount)")) == "Amount"
+    assert distinct({"a": "Add($close, $open)", "b": "Add($open, $close)", "c": "$vwap"}) == {"b": "a"}
     text, missing = to_qlib(parse("Neg(TsMax($close, 5))"))
     assert text == "Mul(Max($close, 5), -1)" and not missing
     assert to_qlib(parse("CsRank($close)"))[1] == ["CsRank"]
     assert str(from_qlib("Max(Ref($close, 2), 5)")) == "TsMax(Delay($close, 2), 5)"
+    for divergent in ("Log($close)", "TsRank($close, 5)", "TsArgMax($close, 5)", "TsArgMin($close, 5)", "IfElse($close, 1, 2)", "And($close, $open)", "Or($close, $open)", "Not($close)"):
+        assert to_qlib(parse(divergent))[1] == [divergent.split("(")[0]]
+    for divergent in ("Log($close)", "Rank($close, 5)", "Mean(If($close, 1, 2), 5)"):
+        with pytest.raises(SyntaxError):
+            from_qlib(divergent)
 
 
 def test_only_needed_leaves_are_read():
