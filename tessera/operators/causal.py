@@ -28,16 +28,31 @@ def top_series(df: DataFrame, value: str, k: int = 20) -> DataFrame:
 
 
 def f_tail(f: float, p: int, q: int) -> float:
-    """P(F > f) with p and q degrees of freedom, by integration of the beta density."""
+    """P(F > f) with p and q degrees of freedom: an incomplete beta function by its continued fraction."""
     if f <= 0 or q <= 0:
         return 1.0
     x, a, b = q / (q + p * f), q / 2, p / 2
-    nodes, weights = np.polynomial.legendre.leggauss(400)
-    # t = x u^2 keeps the integrand smooth where a is 1/2
-    u = (nodes + 1) / 2
-    t = x * u**2
-    log = (a - 1) * np.log(t) + (b - 1) * np.log1p(-t) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    return float(min(max((weights / 2 * np.exp(log) * 2 * x * u).sum(), 0.0), 1.0))
+    turned = x > (a + 1) / (a + b + 2)  # the fraction converges fast on the other side only
+    if turned:
+        x, a, b = 1 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(max(x, 1e-300)) + b * math.log1p(-x)) / a
+
+    def part(m: int) -> float:
+        k = m // 2
+        if m % 2:
+            return -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        return k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+
+    # convergents as a product of ratios, forward
+    value = low = 1 / (1 + part(1))
+    top = 1.0
+    for m in range(2, 2000):
+        low, top = 1 / (1 + part(m) * low), 1 + part(m) / top
+        value *= low * top
+        if abs(low * top - 1) < 1e-14:
+            break
+    tail = front * value
+    return min(max(1 - tail if turned else tail, 0.0), 1.0)
 
 
 def granger_lags(effect: np.ndarray, cause: np.ndarray, controls: np.ndarray | None = None, lags: int = LAGS) -> list[tuple[int, float, float]]:
