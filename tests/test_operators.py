@@ -132,7 +132,7 @@ def test_operator(name, got):
 
 
 def test_recurrences(frame):
-    from tessera.functions.recurrence import ema, kaufman
+    from tessera.functions.recurrence import ema
 
     rows = evaluate(frame, {"e": "EMA($close, 5)", "d": "DEMA($close, 5)"}).collect()
     kernel = evaluate(frame, {"k": "KAMA($close, 5)"}, mode="kernel").collect()
@@ -140,8 +140,20 @@ def test_recurrences(frame):
     for r in rows:
         want = e[int(r.asset_id[1:]), r.t_idx]
         assert (r.e is None) == math.isnan(want) and (r.e is None or abs(r.e - want) < 1e-9)
-    k = kaufman(PANEL["close"], 5)
-    assert all((r.k is None) == math.isnan(k[int(r.asset_id[1:]), r.t_idx]) for r in kernel)
+    w, by_asset = 5, {}
+    for r in kernel:
+        by_asset.setdefault(int(r.asset_id[1:]), {})[r.t_idx] = r.k
+    for a, got in by_asset.items():  # the definition, one value at a time
+        x = [float(v) for v in PANEL["close"][a]]
+        last = math.nan
+        for t, now in enumerate(x):
+            want = now
+            if t >= w and not math.isnan(now) and not math.isnan(last):
+                walked = sum(abs(x[i] - x[i - 1]) for i in range(t - w + 1, t + 1) if not math.isnan(x[i] - x[i - 1]))
+                ratio = abs(now - x[t - w]) / walked if walked > 1e-10 else 0.0
+                want = last + (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2 * (now - last)
+            assert (got[t] is None) == math.isnan(want) and (got[t] is None or got[t] == pytest.approx(want, rel=1e-9, abs=1e-9)), (a, t)
+            last = want
 
 
 def test_every_operator_plans(frame):
