@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +31,16 @@ from tessera.llm.common import CACHES, bound_batches, tidy
 #: What the vocabulary's ``\s`` matches, which no word holds.
 _SPACES = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[{_SPACES}]+")
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
+#: Begins the name of a piece that is given in byte symbols; no word holds it.
+_SYMBOLS = "\n"
+_EMPTY = hashlib.sha256(b"").hexdigest()
 #: Letters below U+0250 but one (its lower case is two code points); all Unicode versions agree on them.
 _LETTERS = r"\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 _LATIN = re.compile(f"[\x00-\x7f{_LETTERS}]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
 #: Words, pieces of words and pairs of tokens that a worker's memos keep, each in two generations of this size.
-MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 60_000, 60_000, 150_000
-#: Number of tokens, and their decimal ids joined by one space.
-Found = tuple[int, str]
+MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 300_000, 200_000, 150_000
 
 
 def _byte_symbols() -> list[str]:
@@ -186,15 +188,21 @@ class Codec:
         self._rules = Tokenizer.from_str(spec)  # its normaliser and splitter, for words of other letters
         self._bytes = _byte_symbols()
         self._names = {**self.vocabulary.names, **{i: s for s, i in self.special.items()}}
-        self._by_decimal = {str(i): n for i, n in self._names.items()}
+        most = max(self._names, default=0)
+        #: What ids are packed as.
+        self.kind = np.dtype(np.uint16 if most < (1 << 16) - 2 else np.uint32)
+        self._packed = [np.array(i, self.kind).tobytes() for i in range(most + 1)]
+        # each id's decimal and name with the space that follows it, so that taking them joins them
+        self._decimals = pa.array([f"{i} " for i in range(most + 1)], pa.large_string())
+        self._spaced = pa.array([f"{n} " if (n := self._names.get(i)) is not None else "" for i in range(most + 1)], pa.large_string())
         # what is asked for again moves from the old generation to the young one; a full young one becomes the old
-        self._memo: dict[str, Found] = {}
-        self._old_memo: dict[str, Found] = {}
-        self._pieces: dict[str, Found] = {}
-        self._old_pieces: dict[str, Found] = {}
+        self._memo: dict[str, bytes] = {}
+        self._old_memo: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._old_pieces: dict[str, bytes] = {}
 
     def _split(self, word: str) -> list[str]:
-        """A word's pieces in byte symbols; a special token stands alone."""
+        """A word's pieces, named for the memo: letters as they are, or _SYMBOLS and byte symbols; a special token stands alone."""
         if "<|" in word and self._special.search(word):
             out = []
             for part in self._special.split(word):
@@ -202,37 +210,42 @@ class Codec:
                     out += [part] if part in self.special else self._split(part)
             return out
         if _LATIN.fullmatch(word):
-            pieces = _PIECES.findall(word.lower())
-            if word.isascii() and word.isprintable():
-                return pieces
-            return [p.encode().decode("latin-1").translate(self._bytes) for p in pieces]
-        return [p for p, _ in self._rules.pre_tokenizer.pre_tokenize_str(self._rules.normalizer.normalize_str(word))]
+            return _PIECES.findall(word.lower())
+        return [_SYMBOLS + p for p, _ in self._rules.pre_tokenizer.pre_tokenize_str(self._rules.normalizer.normalize_str(word))]
+
+    def _symbols(self, piece: str) -> str:
+        if piece[0] == _SYMBOLS:
+            return piece[1:]
+        if piece.isascii() and piece.isprintable():
+            return piece
+        return piece.encode().decode("latin-1").translate(self._bytes)
 
     def _learn(self, words: set[str]) -> None:
         """Fill the memo with words that it lacks: all their new pieces in one traversal."""
-        split = [(w, self._split(w)) for w in words]
+        split = self._split
+        found = [(w, split(w)) for w in words]
         if len(self._pieces) > MEMO_PIECES:
             self._pieces, self._old_pieces = {}, self._pieces
-        known, old = self._pieces, self._old_pieces
+        known, old, memo, packed = self._pieces, self._old_pieces, self._memo, self._packed
         for s, i in self.special.items():
-            known[s] = 1, str(i)
-        new = {p for _, ps in split for p in ps if p not in known}
+            known[s] = packed[i]
+        new = {p for _, ps in found for p in ps if p not in known}
         again = new & old.keys()
         known.update((p, old[p]) for p in again)
         new -= again
-        for p, ids in self.vocabulary.encode_all(new):
-            known[p] = (1, str(ids[0])) if len(ids) == 1 else (len(ids), " ".join([str(i) for i in ids]))
-        for w, ps in split:
-            if len(ps) == 1:
-                self._memo[w] = known[ps[0]]
-            else:
-                found = [known[p] for p in ps]
-                self._memo[w] = sum([x[0] for x in found]), " ".join([x[1] for x in found])
+        named = {self._symbols(p): p for p in new}
+        for symbols, ids in self.vocabulary.encode_all(named):
+            known[named[symbols]] = packed[ids[0]] if len(ids) == 1 else b"".join([packed[i] for i in ids])
+        if len(named) < len(new):  # one piece under two names
+            known.update((p, known[named[self._symbols(p)]]) for p in new if p not in known)
+        for w, ps in found:
+            memo[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
     def words(self, text: str) -> list[str]:
-        return text.split() if not _ODD.search(text) else [w for w in _SPLIT.split(text) if w]
+        return text.split() if not any(c in text for c in _ODD) else [w for w in _SPLIT.split(text) if w]
 
-    def _known(self, texts: list[str]) -> list[list[str]]:
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed as ``kind``."""
         split = [self.words(t) for t in texts]
         if len(self._memo) > MEMO_WORDS:
             self._memo, self._old_memo = {}, self._memo
@@ -247,33 +260,37 @@ class Codec:
                 self._learn(new)
             finally:
                 gc.enable()
-        return split
+        get = memo.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
-    def encode(self, texts: list[str]) -> list[str]:
-        """Decimal ids of each text, joined by one space."""
-        split = self._known(texts)
-        return [" ".join(x for w in ws if (x := self._memo[w][1])) for ws in split]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [np.frombuffer(x, self.kind) for x in self.encode_packed(texts)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by one space, as the vocabulary's file has no decoder; unknown ids are left out."""
         return " ".join(n for i in ids if (n := self._names.get(i)) is not None)
 
-    def decode_decimals(self, ids: str) -> str:
-        """The same of decimal ids that are joined by one space."""
-        if not ids:
-            return ""
-        name = self._by_decimal.get
-        return " ".join([n for i in ids.split(" ") if (n := name(i)) is not None])
+    @staticmethod
+    def _joined(strings: pa.Array, ids: pa.Array, ends: np.ndarray) -> Iterator[memoryview]:
+        """The strings of the ids of each text, one after the other, without the last space; texts end at ``ends``."""
+        taken = strings.take(ids)
+        at = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1)[ends].tolist()
+        whole = memoryview(taken.buffers()[2] or b"")
+        for a, b in zip([0, *at], at, strict=False):
+            yield whole[a : max(a, b - 1)]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, and SHA-256 of the ids and of the text that these ids decode to."""
-        split = self._known(texts)
-        out, memo = [], self._memo
-        for ws in split:
-            found = [x for w in ws if (x := memo[w])[0]]
-            ids = " ".join([x[1] for x in found])
-            out.append((sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(self.decode_decimals(ids).encode()).hexdigest()))
-        return out
+        packed = self.encode_packed(texts)
+        sizes = np.array([len(x) for x in packed], np.int64) // self.kind.itemsize
+        ids = pa.array(np.frombuffer(b"".join(packed), self.kind))
+        if not len(ids):
+            return [(0, _EMPTY, _EMPTY)] * len(texts)
+        ends = np.cumsum(sizes)
+        numbers = [hashlib.sha256(x).hexdigest() for x in self._joined(self._decimals, ids, ends)]
+        decoded = [hashlib.sha256(x).hexdigest() for x in self._joined(self._spaced, ids, ends)]
+        return list(zip(sizes.tolist(), numbers, decoded, strict=True))
 
 
 _codecs: dict[str, Codec] = {}
@@ -332,7 +349,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             rows = [r for part in text_runs(texts) for r in c.digests(part)]
             cols = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
             if with_ids:
-                ids = [[int(i) for i in x.split()] for part in text_runs(texts) for x in c.encode(part)]
+                ids = [x.tolist() for part in text_runs(texts) for x in c.encode(part)]
                 cols += [pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, out.names)
 

@@ -91,7 +91,9 @@ def _packer(spec, width: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(spec.value)
         for b in batches:
-            ids = [np.fromstring(f"{x} {end}", np.int64, sep=" ").astype(f"<u{width}").tobytes() for part in bpe.text_runs(b.column(1).to_pylist()) for x in codec.encode(part)]
+            kind, last = np.dtype(f"<u{width}"), np.array(end, f"<u{width}").tobytes()
+            runs = (codec.encode_packed(part) for part in bpe.text_runs(b.column(1).to_pylist()))
+            ids = [(x if codec.kind == kind else np.frombuffer(x, codec.kind).astype(kind).tobytes()) + last for run in runs for x in run]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc", "text"])
 
     return run
@@ -200,7 +202,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
         most = max(json.loads(spec)["model"]["vocab"].values()) + 4
         width = 2 if most < 1 << 16 else 4
         pad = (1 << 8 * width) - 1
-        rows = materialize(rows.mapInArrow(tidy("bpe", _packer(spark.sparkContext.broadcast(spec), width, pad - 1)), "doc long, text binary"))
+        rows = materialize(rows.mapInArrow(tidy("bpe", _packer(spark.sparkContext.broadcast(spec), width, pad - 1)), "doc long, text binary"), "zstd")
         n_tokens = F.octet_length("text") / width
     elif "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = materialize(rows)  # what a shuffle deals out may be dealt otherwise the second time
