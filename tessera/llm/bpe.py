@@ -40,7 +40,7 @@ _LETTERS = r"\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 _LATIN = re.compile(f"[\x00-\x7f{_LETTERS}]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
 #: Words, pieces of words and pairs of tokens that a worker's memos keep, each in two generations of this size.
-MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 300_000, 200_000, 150_000
+MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 450_000, 250_000, 300_000
 
 
 def _byte_symbols() -> list[str]:
@@ -203,13 +203,15 @@ class Codec:
 
     def _split(self, word: str) -> list[str]:
         """A word's pieces, named for the memo: letters as they are, or _SYMBOLS and byte symbols; a special token stands alone."""
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
         if "<|" in word and self._special.search(word):
             out = []
             for part in self._special.split(word):
                 if part:
                     out += [part] if part in self.special else self._split(part)
             return out
-        if _LATIN.fullmatch(word):
+        if word.isascii() or _LATIN.fullmatch(word):
             return _PIECES.findall(word.lower())
         return [_SYMBOLS + p for p, _ in self._rules.pre_tokenizer.pre_tokenize_str(self._rules.normalizer.normalize_str(word))]
 
