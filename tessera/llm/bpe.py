@@ -1,7 +1,7 @@
 """BPE encoding and decoding by a prefix-sharing trie traversal.
 
-The words of a batch are put into a trie and walked depth first. The state of a node is
-the last token of the encoding of its prefix. A prefix followed by one more symbol ends
+The words of a batch are put into a trie and walked level by level, each level at once in
+arrays (words over WIDTH bytes: depth first, one by one). The state of a node is the last token of the encoding of its prefix. A prefix followed by one more symbol ends
 in the one vocabulary token t for which the encoding of what precedes t, followed by t,
 is itself a valid encoding; that holds if the last token before t and t don't merge when
 they are encoded together. So each prefix is solved once for all words that share it,
@@ -27,18 +27,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import CACHES, bound_batches, tidy
+from tessera.llm.words import LOWER, SPACE, U, mix
 
-#: What the vocabulary's ``\s`` matches, which no word holds.
-_SPACES = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPLIT = re.compile(f"[{_SPACES}]+")
-_ODD = "\x1c\x1d\x1e\x1f"
+#: What the vocabulary's ``\s`` matches beyond ASCII, which no word holds; ASCII's are those of SPACE.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Their first bytes.
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Begins the name of a piece that is given in byte symbols; no word holds it.
 _SYMBOLS = "\n"
 _EMPTY = hashlib.sha256(b"").hexdigest()
-#: Letters below U+0250 but one (its lower case is two code points); all Unicode versions agree on them.
-_LETTERS = r"\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+#: Letters below U+0250 but those whose lower case is longer or beyond; all Unicode versions agree on them.
+_LETTERS = "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and c.lower() < "\u0250" and len(c.lower()) == 1)
 _LATIN = re.compile(f"[\x00-\x7f{_LETTERS}]*")
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
+_PIECES = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}\n]+")
+#: Of each byte the kind of piece that it stands in, in words of ASCII and the letters below U+0100; ' may begin a piece and 0 fills up rows.
+_OTHER, _LETTER, _DIGIT, _ODD = range(4)
+_KIND = np.array([_ODD if c in (0, 0x27) or c > 0xBF and c != 0xC3 else _LETTER if c > 0x7F or chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _OTHER for c in range(256)], np.uint8)
+_NONE = np.zeros(1, np.uint8)
+#: Most bytes of a piece in the arrays of the traversal; two 64-bit numbers hold them.
+WIDTH = 16
+#: Bits of the place of a pair of tokens in the arrays' memo.
+PAIR_BITS = 21
 #: Words, pieces of words and pairs of tokens that a worker's memos keep, each in two generations of this size.
 MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 450_000, 250_000, 300_000
 
@@ -50,6 +60,164 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+class Table:
+    """Numbers by keys of two 64-bit numbers, looked up exactly, many at once (open addressing); -1 where there is none."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> None:
+        size = 1 << max(4, (4 * len(a)).bit_length())
+        self._last, self._shift = size - 1, U(65 - size.bit_length())
+        self._a, self._b, self._values = np.zeros(size, U), np.zeros(size, U), np.full(size, -1, np.int64)
+        rest, at = np.arange(len(a)), self._place(a, b)
+        while len(rest):
+            free, first = np.unique(at[rest], return_index=True)
+            first = first[self._values[free] < 0]
+            put = rest[first]
+            self._a[at[put]], self._b[at[put]], self._values[at[put]] = a[put], b[put], values[put]
+            rest = np.delete(rest, first)
+            at[rest] = (at[rest] + 1) & self._last
+
+    def _place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = a * U(0x9E3779B97F4A7C15) + b * U(0xD6E8FEB86659FD93)
+        h ^= h >> U(32)
+        h *= U(0xBF58476D1CE4E5B9)
+        h >>= self._shift
+        return h.view(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = self._place(a, b)
+        out = self._values[at]
+        other = np.flatnonzero((out >= 0) & ((self._a[at] != a) | (self._b[at] != b)))
+        at = at[other]
+        while len(other):
+            at = (at + 1) & self._last
+            out[other] = value = self._values[at]
+            on = (value >= 0) & ((self._a[at] != a[other]) | (self._b[at] != b[other]))
+            other, at = other[on], at[on]
+        return out
+
+
+def _loads(pieces: np.ndarray) -> list[np.ndarray]:
+    """Of rows of WIDTH bytes the 8 bytes from each place on as a number; zeros follow the rows."""
+    wide = np.zeros((len(pieces), WIDTH + 16), np.uint8)
+    wide[:, :WIDTH] = pieces
+    return [np.ascontiguousarray(wide[:, i : i + 8]).view("<u8")[:, 0] for i in range(WIDTH + 8)]
+
+
+#: What is kept of the first and of the second number for so many bytes.
+_FIRST = [U((1 << 8 * min(k, 8)) - 1) for k in range(WIDTH + 1)]
+_SECOND = [U((1 << 8 * max(k - 8, 0)) - 1) for k in range(WIDTH + 1)]
+
+
+def _gathered(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` one after the other, and where each ends, after a zero."""
+    ends = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=ends[1:])
+    at = np.repeat(begins - ends[:-1], counts)
+    at += np.arange(len(at))
+    return values[at], ends
+
+
+class Levels:
+    """The traversal in arrays, for pieces of 1 to WIDTH bytes without zero bytes."""
+
+    def __init__(self, v: Vocabulary, to_byte: dict[str, int]) -> None:
+        def table(tokens: dict[str, int]) -> Table:
+            own = [(bytes(to_byte[c] for c in t), i) for t, i in tokens.items() if len(t) <= WIDTH and all(to_byte.get(c) for c in t)]
+            rows = np.array([t for t, _ in own], f"S{WIDTH}").view(np.uint8).reshape(-1, WIDTH)
+            loads = _loads(rows)
+            return Table(loads[0], loads[8], np.array([i for _, i in own], np.int64))
+
+        self._inner, self._final = table(v.inner), table(v.final)
+        pairs = np.array(list(v._joins), U).reshape(-1, 2)
+        self._joins = Table(pairs[:, 0].copy(), pairs[:, 1].copy(), np.array(list(v._joins.values()), np.int64))
+        self._rank, self._left, self._right = (np.zeros(max(v.names, default=0) + 1, np.int64) for _ in range(3))
+        for i, made in v._made.items():
+            self._rank[i], self._left[i], self._right[i] = made
+        # a pair and its answer in one number at the pair's place; a later pair takes the place of an earlier one
+        self._memo = np.full(1 << PAIR_BITS, -1, np.int64)
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Vocabulary.stay_apart`` of many pairs."""
+        pair = left << 31 | right
+        at = (mix(pair.astype(U)) >> U(64 - PAIR_BITS)).astype(np.int64)
+        held = self._memo[at]
+        out = (held & 1).astype(bool)
+        new = np.flatnonzero(held >> 1 != pair)
+        if len(new):
+            out[new] = self._undo(left[new], right[new])
+            self._memo[at[new]] = pair[new] << 1 | out[new]
+        return out
+
+    def _undo(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        rows = np.arange(len(a))
+        over_a = np.full(len(a), 1 << 60)
+        over_b = over_a
+        while len(rows):
+            rank = self._joins.find(a.astype(U), b.astype(U))
+            merged = (rank >= 0) & (rank < over_a) & (rank <= over_b)
+            out[rows[merged]] = False
+            x, y = self._rank[a], self._rank[b]
+            on = ~merged & ((x >= 0) | (y >= 0))
+            rows, a, b, over_a, over_b, x, y = (z[on] for z in (rows, a, b, over_a, over_b, x, y))
+            of_a = x > y
+            over_a, over_b = np.where(of_a, x, over_a), np.where(of_a, over_b, y)
+            a, b = np.where(of_a, self._right[a], a), np.where(of_a, b, self._left[b])
+        return out
+
+    def encode(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and of each piece where its own begin there and how many they are. Pieces are rows of WIDTH bytes that differ, filled up with zeros."""
+        order = np.lexsort(pieces.view(">u8").astype(U).T[::-1])
+        found = rows = pieces[order]
+        n, sizes, loads = len(rows), (rows != 0).sum(1), _loads(rows)
+        # bytes that a piece shares with the one before it, and the size of that one
+        shared = np.concatenate(([0], (rows[1:] != rows[:-1]).argmax(1)))
+        before = np.concatenate(([0], sizes[:-1]))
+        last, begins = np.zeros((2, WIDTH, n), np.int64)
+        token, begin = np.zeros((2, n), np.int64)
+
+        def solve(rows: np.ndarray, end: int, table: Table) -> tuple[np.ndarray, np.ndarray]:
+            """The last token of the first ``end`` bytes of ``rows``, and where it begins."""
+            token, begin = np.zeros((2, len(rows)), np.int64)
+            open_ = np.arange(len(rows))
+            for start in range(end - 1, -1, -1):
+                size = end - start
+                t = table.find(loads[start][rows] & _FIRST[size], loads[start + 8][rows] & _SECOND[size])
+                ok = t >= 0
+                if start:
+                    some = np.flatnonzero(ok)
+                    ok[some] = self._apart(last[start - 1][rows[some]], t[some])
+                done = open_[ok]
+                token[done], begin[done] = t[ok], start
+                open_, rows = open_[~ok], rows[~ok]
+                if not len(open_):
+                    return token, begin
+            raise ValueError(f"no token ends {found[rows[0], :end].tobytes()!r}")
+
+        for end in range(1, int(sizes.max(initial=0)) + 1):
+            on = np.flatnonzero(sizes > end)
+            # pieces with one beginning are neighbours, the beginning itself before them: the first of them stands for the node
+            first = (shared[on] < end) | (before[on] == end)
+            if len(on):
+                node = np.cumsum(first) - 1
+                t, b = solve(on[first], end, self._inner)
+                last[end - 1][on], begins[end - 1][on] = t[node], b[node]
+            on = np.flatnonzero(sizes == end)
+            if len(on):
+                token[on], begin[on] = solve(on, end, self._final)
+        out, counts = np.zeros((n, WIDTH), np.int64), np.ones(n, np.int64)
+        out[:, -1] = token
+        on = np.flatnonzero(begin)
+        while len(on):
+            counts[on] += 1
+            out[on, WIDTH - counts[on]] = last[begin[on] - 1, on]
+            begin[on] = begins[begin[on] - 1, on]
+            on = on[begin[on] > 0]
+        at, many = np.zeros((2, n), np.int64)
+        at[order], many[order] = np.cumsum(counts) - counts, counts
+        return out[np.arange(WIDTH) >= (WIDTH - counts)[:, None]], at, many
+
+
 @dataclass
 class Vocabulary:
     """Tokens and merges, indexed for the traversal. Symbols inside a word and at its end differ."""
@@ -68,23 +236,26 @@ class Vocabulary:
     def __post_init__(self) -> None:
         made = {a + b for a, b in self.ranks}
         size = len(self.suffix)
+        steps: dict[int, list[str]] = {}
         for token, i in self.ids.items():
             self.names[i] = token
             last = token.endswith(self.suffix) and len(token) > size
             plain = token[:-size] if last else token
-            if len(plain) > 1 and token not in made or self.merged(self.symbols(plain, last)) != [token]:
+            if len(plain) > 1 and token not in made:
                 continue  # no encoding can end in it
+            step = self.merged(self.symbols(plain, last), 2)
+            if len(step) > 2 or len(step) == 2 and tuple(step) not in self.ranks:
+                continue
             (self.final if last else self.inner)[plain] = i
+            steps[i] = step
         for (a, b), rank in self.ranks.items():
             if a in self.ids and b in self.ids:
                 self._joins[self.ids[a], self.ids[b]] = rank
-        for tokens, last in ((self.inner, False), (self.final, True)):
-            for plain, i in tokens.items():
-                step = self.merged(self.symbols(plain, last), 2) if len(plain) > 1 else ()
-                if len(step) == 2 and all(x in self.ids for x in step):
-                    self._made[i] = self.ranks[step[0], step[1]], self.ids[step[0]], self.ids[step[1]]
-                else:
-                    self._made[i] = -1, i, i
+        for i, step in steps.items():
+            if len(step) == 2 and all(x in self.ids for x in step):
+                self._made[i] = self.ranks[step[0], step[1]], self.ids[step[0]], self.ids[step[1]]
+            else:
+                self._made[i] = -1, i, i
 
     def symbols(self, plain: str, last: bool) -> list[str]:
         return [*plain[:-1], plain[-1] + self.suffix] if last and self.suffix else list(plain)
@@ -92,11 +263,16 @@ class Vocabulary:
     def merged(self, parts: list[str], least: int = 1) -> list[str]:
         """Merges by rank, leftmost first, down to ``least`` parts: the definition, used on tokens only."""
         parts = list(parts)
-        while len(parts) > least:
-            rank, i = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
+        never, rank_of = 1 << 60, self.ranks.get
+        ranks = [rank_of(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+        while len(parts) > least and (rank := min(ranks)) < never:
+            i = ranks.index(rank)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank_of((parts[i], parts[i + 1]), never)
         return parts
 
     def stay_apart(self, left: int, right: int) -> bool:
@@ -187,6 +363,8 @@ class Codec:
         self._special = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True)) or "(?!)")
         self._rules = Tokenizer.from_str(spec)  # its normaliser and splitter, for words of other letters
         self._bytes = _byte_symbols()
+        self._of_symbol = {c: i for i, c in enumerate(self._bytes)}
+        self._levels = Levels(self.vocabulary, self._of_symbol)
         self._names = {**self.vocabulary.names, **{i: s for s, i in self.special.items()}}
         most = max(self._names, default=0)
         #: What ids are packed as.
@@ -202,68 +380,151 @@ class Codec:
         self._old_pieces: dict[str, bytes] = {}
 
     def _split(self, word: str) -> list[str]:
-        """A word's pieces, named for the memo: letters as they are, or _SYMBOLS and byte symbols; a special token stands alone."""
-        if word.isascii() and word.isalpha():
-            return [word.lower()]
+        """The pieces of a word that isn't plain, named for the memo: letters as they are, or _SYMBOLS and byte symbols; a special token stands alone."""
         if "<|" in word and self._special.search(word):
             out = []
             for part in self._special.split(word):
                 if part:
                     out += [part] if part in self.special else self._split(part)
             return out
-        if word.isascii() or _LATIN.fullmatch(word):
+        if _LATIN.fullmatch(word):
             return _PIECES.findall(word.lower())
         return [_SYMBOLS + p for p, _ in self._rules.pre_tokenizer.pre_tokenize_str(self._rules.normalizer.normalize_str(word))]
 
-    def _symbols(self, piece: str) -> str:
-        if piece[0] == _SYMBOLS:
-            return piece[1:]
-        if piece.isascii() and piece.isprintable():
-            return piece
-        return piece.encode().decode("latin-1").translate(self._bytes)
+    def _bytes_of(self, piece: str) -> bytes:
+        return bytes(self._of_symbol[c] for c in piece[1:]) if piece[0] == _SYMBOLS else piece.encode()
+
+    def _solve(self, new: list[str]) -> None:
+        """Fill the memo of pieces with such that it lacks."""
+        known, packed = self._pieces, self._packed
+        named = {self._bytes_of(p): p for p in new}
+        short = [x for x in named if len(x) <= WIDTH and 0 not in x]
+        ids, begins, counts = self._levels.encode(np.array(short, f"S{WIDTH}").view(np.uint8).reshape(-1, WIDTH))
+        raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        known.update((named[x], raw[i * size : (i + n) * size]) for x, i, n in zip(short, begins.tolist(), counts.tolist(), strict=True))
+        if len(short) < len(named):
+            long = {"".join([self._bytes[c] for c in x]): p for x, p in named.items() if len(x) > WIDTH or 0 in x}
+            for symbols, ids in self.vocabulary.encode_all(long):
+                known[long[symbols]] = b"".join([packed[i] for i in ids])
+        if len(named) < len(new):  # one piece under two names
+            known.update((p, known[named[self._bytes_of(p)]]) for p in new if p not in known)
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Fill the memo with words that it lacks: all their new pieces in one traversal."""
-        split = self._split
-        found = [(w, split(w)) for w in words]
         if len(self._pieces) > MEMO_PIECES:
             self._pieces, self._old_pieces = {}, self._pieces
-        known, old, memo, packed = self._pieces, self._old_pieces, self._memo, self._packed
+        known, old, packed = self._pieces, self._old_pieces, self._packed
         for s, i in self.special.items():
             known[s] = packed[i]
-        new = {p for _, ps in found for p in ps if p not in known}
+        # words of Latin letters are cut all at once; each word's end is a piece without ids
+        known["\n"] = b""
+        plain = _LATIN.fullmatch
+        odd = [w for w in words if "<|" in w or not (w.isascii() or plain(w))]
+        if odd:
+            apart = set(odd)
+            words = [w for w in words if w not in apart]
+        pieces = _PIECES.findall("\n".join([*words, ""]).lower())
+        for w in odd:
+            pieces += self._split(w)
+            pieces.append("\n")
+        new = set(pieces) - known.keys()
         again = new & old.keys()
         known.update((p, old[p]) for p in again)
         new -= again
-        named = {self._symbols(p): p for p in new}
-        for symbols, ids in self.vocabulary.encode_all(named):
-            known[named[symbols]] = packed[ids[0]] if len(ids) == 1 else b"".join([packed[i] for i in ids])
-        if len(named) < len(new):  # one piece under two names
-            known.update((p, known[named[self._symbols(p)]]) for p in new if p not in known)
-        for w, ps in found:
-            memo[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        if new:
+            self._solve(list(new))
+        ids = list(map(known.__getitem__, pieces))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.cumsum(sizes)[sizes == 0].tolist()
+        raw = b"".join(ids)
+        self._memo.update(zip([*words, *odd], map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
-    def words(self, text: str) -> list[str]:
-        return text.split() if not any(c in text for c in _ODD) else [w for w in _SPLIT.split(text) if w]
+    @staticmethod
+    def _words(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of the texts; ``bounds[i]:bounds[i+1]`` are those of text i."""
+        raw = [t.encode() for t in texts]
+        at = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum([len(t) + 1 for t in raw], out=at[1:])
+        whole = b"\n".join([*raw, b""])
+        buf = np.frombuffer(whole, np.uint8)
+        if _LEADS[buf].any() and _WIDE.search(whole):
+            buf = np.frombuffer(_WIDE.sub(lambda m: b" " * len(m[0]), whole), np.uint8)
+        word = ~SPACE[buf]
+        edges = np.flatnonzero(np.diff(word, prepend=False))
+        starts = edges[::2]
+        ends = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(edges[1::2] - starts, out=ends[1:])
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(buf[word]))
+        return words.dictionary_encode(), np.searchsorted(starts, at)
+
+    def _plain(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where those of each word begin there and how many they are, and the words that are left out: all but those of ASCII and letters below U+0100."""
+        n = len(words)
+        at = np.frombuffer(words.buffers()[1], np.int64, n + 1)
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: at[-1]]
+        kind, before = _KIND[raw], np.concatenate((_NONE, raw[:-1]))
+        odd = kind == _ODD
+        after = before == 0xC3
+        odd |= after & ((raw == 0x97) | (raw == 0xB7)) | (before == 0x3C) & (raw == 0x7C)
+        lower = LOWER[raw]
+        lower[after & (raw < 0x9F)] += 0x20
+        # a piece begins with a word, with another kind of bytes, and with each digit
+        first = kind == _DIGIT
+        first[1:] |= kind[1:] != kind[:-1]
+        first[at[:-1]] = True
+        begins = np.flatnonzero(first)
+        bounds = np.searchsorted(begins, at)
+        sizes = np.diff(begins, append=len(raw))
+        left = np.zeros(n, bool)
+        left[np.searchsorted(at, np.flatnonzero(odd), "right") - 1] = True
+        left[np.searchsorted(at, begins[sizes > WIDTH], "right") - 1] = True
+        of_word = np.repeat(np.arange(n), np.diff(bounds))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(raw))), pa.py_buffer(lower)])
+        if left.any():
+            keep = ~left[of_word]
+            pieces, of_word = pieces.filter(pa.array(keep)), of_word[keep]
+        pieces = pieces.dictionary_encode()
+        which, distinct = pieces.indices.to_numpy(), pieces.dictionary
+        ends = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1)
+        bytes_ = np.concatenate((np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[: ends[-1]], np.zeros(WIDTH, np.uint8)))
+        rows = np.lib.stride_tricks.sliding_window_view(bytes_, WIDTH)[ends[:-1]]
+        rows[np.arange(WIDTH) >= np.diff(ends)[:, None]] = 0
+        ids, begins, counts = self._levels.encode(rows)
+        ids, ends = _gathered(ids, begins[which], counts[which])
+        many = np.bincount(of_word, counts[which], n).astype(np.int64)
+        return ids, np.cumsum(many) - many, many, np.flatnonzero(left)
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as ``kind``."""
-        split = [self.words(t) for t in texts]
+        words, bounds = self._words(texts)
+        ids, begins, counts, left = self._plain(words.dictionary)
+        ids = ids.astype(self.kind)
+        if len(left):
+            size = self.kind.itemsize
+            packed = self._odd_words(words.dictionary.take(pa.array(left)).to_numpy(zero_copy_only=False).tolist())
+            counts[left] = np.fromiter(map(len, packed), np.int64, len(packed)) // size
+            begins[left] = len(ids) + np.cumsum(counts[left]) - counts[left]
+            ids = np.concatenate((ids, np.frombuffer(b"".join(packed), self.kind)))
+        at = words.indices.to_numpy()
+        ids, ends = _gathered(ids, begins[at], counts[at])
+        raw = ids.tobytes()
+        cuts = (ends[bounds] * self.kind.itemsize).tolist()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _odd_words(self, words: list[str]) -> list[bytes]:
+        """The packed ids of words that aren't plain, from the memo."""
         if len(self._memo) > MEMO_WORDS:
             self._memo, self._old_memo = {}, self._memo
         memo, old = self._memo, self._old_memo
-        new = set().union(*split) - memo.keys()
-        again = new & old.keys()
-        memo.update((w, old[w]) for w in again)
-        new -= again
-        if new:
+        new = [w for w in words if w not in memo]
+        memo.update((w, x) for w in new if (x := old.get(w)) is not None)
+        if new := [w for w in new if w not in memo]:
             gc.disable()  # strings and pairs of them make no cycles
             try:
                 self._learn(new)
             finally:
                 gc.enable()
-        get = memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        return list(map(memo.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -318,7 +579,7 @@ def vocabulary_file(path: str | None = None) -> str:
         return f.read()
 
 
-def text_runs(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str]]:
+def text_runs(texts: list[str | None], size: int = 1 << 22) -> Iterator[list[str]]:
     """Runs of texts of about ``size`` characters, which bounds what a traversal holds."""
     run: list[str] = []
     total = 0

@@ -40,11 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. By default the session's Parquet compression."""
+def materialize(df: DataFrame, compression: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. By default the session's Parquet compression and options."""
     path = shared_dir(df.sparkSession)
     schema = df.schema
-    df.write.parquet(path, compression=compression)
+    df.write.options(**(options or {})).parquet(path, compression=compression)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

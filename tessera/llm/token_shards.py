@@ -38,6 +38,9 @@ END, PAD = 0xFF, 0xFE
 ROUNDS = 6
 #: Bytes of a shard, about; more for inputs that would make over MOST_SHARDS.
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 1_000_000
+#: How hard what a shard is made of is compressed on its way: disk is scarcer than the time that this takes.
+PIECE_LEVEL = 6
+STORED = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20), "parquet.enable.dictionary": "false"}
 #: A slot's entry in the table beside a shard.
 ENTRY = np.dtype([("doc", "<i8"), ("chunk", "<i4"), ("tokens", "<i4")])
 
@@ -111,7 +114,7 @@ def _slots(length: int, width: int, pad: int, offsets, permutation: Permutation,
 
         pid = TaskContext.get().partitionId()
         at, stop = offsets.value.get(pid, (0, 0))
-        zstd = zstandard.ZstdCompressor(level=3)
+        zstd = zstandard.ZstdCompressor(level=PIECE_LEVEL)
         for batch in batches:
             tokens = list(_tokens(batch, width))
             sizes = np.array([len(x) for x in tokens], np.int64)
@@ -202,7 +205,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
         most = max(json.loads(spec)["model"]["vocab"].values()) + 4
         width = 2 if most < 1 << 16 else 4
         pad = (1 << 8 * width) - 1
-        rows = materialize(rows.mapInArrow(tidy("bpe", _packer(spark.sparkContext.broadcast(spec), width, pad - 1)), "doc long, text binary"), "zstd")
+        rows = materialize(rows.mapInArrow(tidy("bpe", _packer(spark.sparkContext.broadcast(spec), width, pad - 1)), "doc long, text binary"), "zstd", STORED)
         n_tokens = F.octet_length("text") / width
     elif "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = materialize(rows)  # what a shuffle deals out may be dealt otherwise the second time

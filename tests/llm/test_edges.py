@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import random
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality, toxicity
-from tessera.llm.bpe import Codec, encoded, vocabulary_file
+from tessera.llm.bpe import WIDTH, Codec, encoded, vocabulary_file
 from tessera.llm.components import connected
 from tessera.llm.labelled import held_out_id
+from tessera.llm.token_shards import slots, write_shards
 from tessera.llm.toxicity import DRIFT, maximal_segments
 
 random.seed(11)
@@ -30,6 +32,46 @@ def test_pairs_of_tokens_by_definition():
         assert v.stay_apart(left, right) == (v.merged(v.symbols(a + (b[: -len(v.suffix)] if last else b), last)) == [a, b]), (a, b)
 
 
+def test_traversal_in_arrays_agrees_with_that_of_single_words():
+    c = Codec(vocabulary_file())
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("aeinorstlh.,!éü") for _ in range(rng.randint(1, 9))) for _ in range(5000)})
+    own = [w.encode() for w in words if len(w.encode()) <= WIDTH]
+    ids, begins, counts = c._levels.encode(np.array(own, f"S{WIDTH}").view(np.uint8).reshape(-1, WIDTH))
+    got = {x: ids[i : i + n].tolist() for x, i, n in zip(own, begins.tolist(), counts.tolist(), strict=True)}
+    named = {"".join(c._bytes[b] for b in x): x for x in own}
+    assert got == {named[w]: x for w, x in c.vocabulary.encode_all(named)}
+
+
+def test_words_are_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_str(vocabulary_file()), Codec(vocabulary_file())
+    # capitals whose lower case lies beyond U+024F, pieces longer than the arrays, contractions, zero bytes, wide spaces
+    texts = [f"a{chr(i)}b {chr(i)}. 1{chr(i)}{chr(i)}' q" for i in range(0x300)]
+    texts += ["", "\n", "ß×É÷é " * 9, "Aé" * 4000, "it's I'LL o'clock''s", "a\x00b\x00", "x\u2003y\u3000z\x85w\x1cv", "a<|endoftext|>b <| c<|x"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("abcDEé'sStTrevmlld19.,<|>ßÉ×÷ \n\t\x00½œŒ’中ȺẞİΣ") for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    assert [x.tolist() for x in c.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_plain_words_need_no_memo():
+    c = Codec(vocabulary_file())
+    c.encode(["Plain words, größer or été 12 times; no word is looked up on its own."])
+    assert not c._memo and not c._pieces
+
+
+def test_stored_ids_are_small(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr("tessera.llm.common.shared_dir", lambda _: f"file://{tmp_path}/stored")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    folder = write_shards(docs, f"{tmp_path}/shards", vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+    stored = sum(p.stat().st_size for p in tmp_path.glob("stored/*.parquet"))
+    raw = 2 * slots(spark, folder).agg(F.sum("n_tokens")).first()[0]
+    assert 0 < stored < 0.53 * raw, (stored, raw, stored / raw)
+
+
 def test_encoding_of_no_rows_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "one two", 9, 7), (1, "one two", 9, 7), (None, None, 9, 7)], "doc_id long, text string, id int, n_tokens int")
     assert sorted((r.id or 0, r.n_tokens) for r in encoded(docs).collect()) == [(0, 0), (1, 2), (1, 2)]
