@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.library import KEYS, dependence, long_form
+from tessera.operators.library import KEYS, long_form, pair_dependence
 from tessera.operators.metrics import T, ic_series, ic_stats
 
 _EDGE = 1e-12
@@ -20,10 +20,9 @@ def reward(predicted: Column, redundancy: Column, a: float = 1.0, b: float = 1.0
     return F.pow(clip(F.abs(predicted)), F.lit(a)) * F.pow(1 - clip(redundancy), F.lit(b))
 
 
-def dependence_profile(values: DataFrame) -> DataFrame:
-    """(a, b, distance, pearson, spearman, information, score): information is that of a Gaussian copula, -ln(1 - rho^2) / 2."""
-    parts = [dependence(values, m, 5).withColumnRenamed("rho", m) for m in ("distance", "pearson", "spearman")]
-    out = parts[0].join(parts[1], ["a", "b"]).join(parts[2], ["a", "b"])
+def dependence_profile(pairs: DataFrame) -> DataFrame:
+    """(a, b, distance, pearson, spearman, information, score) of pairs (a, b, t_idx, x, y): information is that of a Gaussian copula, -ln(1 - rho^2) / 2."""
+    out = pair_dependence(pairs, "distance", "pearson", "spearman", least=5)
     info = -F.log(1 - F.least(F.col("spearman") * F.col("spearman"), F.lit(1 - _EDGE))) / 2
     return out.withColumn("information", info).withColumn("score", F.greatest(F.col("distance"), 1 - F.exp(-F.col("information"))))
 

@@ -7,7 +7,9 @@ import itertools
 import numpy as np
 import pytest
 
+from tessera.operators import library as L
 from tessera.operators import portfolio as P
+from tessera.operators import research as S
 
 
 def test_comomentum_by_pairs_without_pairs_as_rows(spark):
@@ -34,3 +36,34 @@ def test_comomentum_by_pairs_without_pairs_as_rows(spark):
         assert {x.end: pytest.approx(x.comomentum) for x in P.comomentum(df, window=8).collect()} == want
     finally:
         P.LEG_ASSETS = kept
+
+
+def test_distance_correlation_without_matrices(spark):
+    def plain(x, y):
+        def centred(v):
+            d = np.abs(v[:, None] - v[None])
+            return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
+
+        a, b = centred(x), centred(y)
+        low = np.sqrt((a * a).mean() * (b * b).mean())
+        return np.sqrt(max((a * b).mean(), 0) / low) if low > 1e-12 else 0.0
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 5, 8, 33, 100):
+        for x, y in ((rng.normal(size=n), rng.normal(size=n)), (np.round(rng.normal(size=n)), np.round(rng.normal(size=n))), (np.ones(n), rng.normal(size=n))):
+            assert L.distance_correlation(x, y) == pytest.approx(plain(x, y), abs=1e-9)
+    x, y = rng.normal(size=100_000), rng.normal(size=100_000)  # whose matrices would take 80 GB each
+    assert 0 < L.distance_correlation(x, y) < 0.02
+
+
+def test_profile_in_one_pass_over_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"a{i}", t, float(np.round(rng.normal(), 1)), None if rng.random() < 0.2 else float(rng.normal())) for i in range(12) for t in range(6)]
+    wide = spark.createDataFrame(rows, "asset_id string, t_idx int, p double, q double")
+    got = S.dependence_profile(L.wide_pairs(wide, ["q", "p"]))
+    r = got.first()
+    for m in ("distance", "pearson", "spearman"):
+        own = L.dependence(L.long_form(wide, ["p", "q"]), m, 5).first()
+        assert (own.a, own.b) == (r.a, r.b) == ("p", "q") and own.rho == pytest.approx(r[m])
+    # rows meet once, by pair and bar, not by cell and once more for each measure
+    assert got._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
