@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -67,3 +68,32 @@ def test_profile_in_one_pass_over_rows(spark):
         assert (own.a, own.b) == (r.a, r.b) == ("p", "q") and own.rho == pytest.approx(r[m])
     # rows meet once, by pair and bar, not by cell and once more for each measure
     assert got._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+
+
+def test_linkage_goes_as_the_greedy_merges_do():
+    def greedy(gap):
+        gap, alive, groups = gap + np.diag([np.inf] * len(gap)), list(range(len(gap))), [[i] for i in range(len(gap))]
+        while len(alive) > 1:
+            i, j = sorted(divmod(int(np.argmin(gap[np.ix_(alive, alive)])), len(alive)))
+            a, b = alive[i], alive[j]
+            groups[a] += groups[b]
+            gap[a] = gap[:, a] = np.minimum(gap[a], gap[b])
+            gap[a, a] = np.inf
+            alive.pop(j)
+        return groups[alive[0]]
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 20, 80):
+        d = rng.integers(0, 6, (n, n)).astype(float)  # many ties
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        assert P.single_linkage(d.copy()) == greedy(d)
+
+
+def test_equal_shares_of_many_assets():
+    x = np.random.default_rng(1).normal(size=(250, 83))
+    c = P.definite(np.cov(np.concatenate([x, x, x, x])))
+    began = time.process_time()
+    w = P.risk_parity(c, rounds=40)  # damped steps alone take more than 40 rounds here
+    share = w * (c @ w)
+    assert np.ptp(share) < 1e-9 * share.sum() and (w > 0).all() and w.sum() == pytest.approx(1)
+    assert time.process_time() - began < 300
