@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.sources.store import written
 
@@ -48,20 +54,57 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, id_col: str = "
     return vectors.select(F.col(id_col).alias("id"), score.alias("score")).where("score IS NOT NULL").orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Vectors of a block of pairs, and rows of one that are multiplied at once; fewer blocks than LEAST_BLOCKS leave cores idle.
+PAIR_VECTORS, PAIR_ROWS, LEAST_BLOCKS = 1 << 14, 1 << 10, 8
+
+
 def semantic_duplicates(vectors: DataFrame, least: float = 0.92, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, score): pairs of unit vectors with a cosine of ``least`` or more.
+    """(a, b, score): pairs of vectors with a cosine of ``least`` or more.
 
-    Vectors at such a cosine are close, so their first two components are: they meet in cells of a
-    grid over these, each vector in its own cell and (on the right side of the join) in the adjacent ones.
+    Blocks of vectors meet in pairs, as products of matrices: work is that of all pairs, as nothing bounds how many are
+    close; a task holds two blocks and a strip of their products. Vectors of unlike lengths, or with a missing part, are in no pair.
     """
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), norm(F.col(vector_col)).alias("n")).where("n > 0")
-    width = (2 - 2 * least) ** 0.5 + 1e-9  # |x - y|^2 = 2 - 2 cos for unit vectors
-    cell = [F.floor(F.coalesce(F.get("v", F.lit(i)).cast("double"), F.lit(0.0)) / F.col("n") / width) for i in (0, 1)]
-    own = v.withColumns({"p": cell[0], "q": cell[1]})
-    around = own.select(F.col("id").alias("b"), F.col("v").alias("w"), F.col("n").alias("m"), F.explode(F.sequence(F.col("p") - 1, F.col("p") + 1)).alias("p"), "q")
-    around = around.select("b", "w", "m", "p", F.explode(F.sequence(F.col("q") - 1, F.col("q") + 1)).alias("q"))
-    pairs = own.join(around, ["p", "q"]).where("id < b").select(F.col("id").alias("a"), "b", "v", "w", "n", "m")
-    return pairs.select("a", "b", (dot(F.col("v"), F.col("w")) / (F.col("n") * F.col("m"))).alias("score")).where(F.col("score") >= least)
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    n = v.count()
+    blocks = max(1, min(LEAST_BLOCKS, n), -(-n // PAIR_VECTORS))
+    v = v.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = v.select("id", "v", "i", F.explode(F.sequence("i", F.lit(blocks - 1))).alias("j"))
+    right = v.select(F.col("id").alias("b"), F.col("v").alias("w"), F.col("i").alias("k"), F.explode(F.sequence(F.lit(0), "i")).alias("h"))
+    kind = v.schema["id"].dataType
+    types = pa.schema([("a", to_arrow_type(kind)), ("b", to_arrow_type(kind)), ("score", pa.float64())])
+
+    def close(key: tuple, one: pa.Table, two: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not one.num_rows or not two.num_rows:
+            return
+        same = key[0].as_py() == key[1].as_py()
+        (p, x, m), (q, y, n) = _unit(one), _unit(two)
+        width = max(x.shape[1], y.shape[1])
+        x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
+        for at in range(0, len(x), PAIR_ROWS):
+            score = x[at : at + PAIR_ROWS] @ y.T
+            r, c = np.nonzero(~(score < least) & (m[at : at + PAIR_ROWS, None] == n))
+            a, b = p.take(pa.array(r + at)), q.take(pa.array(c))
+            keep = pc.less(a, b) if same else pc.not_equal(a, b)
+            score = pa.array(score[r, c]).filter(keep)
+            a, b = a.filter(keep), b.filter(keep)
+            first = pc.less(a, b)
+            yield pa.RecordBatch.from_arrays([pc.if_else(first, a, b), pc.if_else(first, b, a), score], schema=types)
+
+    def whole(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(close(key, one, two)), types)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("h", "k")).applyInArrow(whole, f"a {kind.simpleString()}, b {kind.simpleString()}, score double")
+
+
+def _unit(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, unit vectors as rows and their lengths; vectors without a direction are left out."""
+    ids, v = t.column(0).combine_chunks(), t.column(1).combine_chunks()
+    n, flat = v.value_lengths().to_numpy(), v.flatten().to_numpy()
+    m = np.zeros((len(n), int(n.max(initial=0))))
+    m[np.arange(m.shape[1]) < n[:, None]] = flat
+    size = np.sqrt((m * m).sum(1))
+    ok = size != 0
+    return ids.filter(pa.array(ok)), m[ok] / size[ok, None], n[ok]
 
 
 def ranked(ranking: DataFrame, parts: int = 64) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from tessera.operators import library as L
 from tessera.operators import portfolio as P
 from tessera.operators import research as S
+from tessera.operators import retrieval as V
 
 
 def test_comomentum_by_pairs_without_pairs_as_rows(spark):
@@ -97,3 +98,18 @@ def test_equal_shares_of_many_assets():
     share = w * (c @ w)
     assert np.ptp(share) < 1e-9 * share.sum() and (w > 0).all() and w.sum() == pytest.approx(1)
     assert time.process_time() - began < 300
+
+
+def test_close_vectors_by_blocks(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 8))
+    m = np.concatenate([base, base + 0.05 * rng.normal(size=base.shape), base * 3.0])
+    rows = [(int(i), [float(e) for e in v]) for i, v in enumerate(m)] + [(900, [0.0] * 8), (901, None), (902, [1.0, None, *[0.0] * 6]), (903, [float(e) for e in m[0][:7]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = {(i, j): pytest.approx(u[i] @ u[j]) for i in range(len(u)) for j in range(i + 1, len(u)) if u[i] @ u[j] >= 0.92}
+    got = V.semantic_duplicates(df)
+    assert {(r.a, r.b): r.score for r in got.collect()} == want and len(want) >= 90
+    # blocks meet, not vectors: no join compares them one by one
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
