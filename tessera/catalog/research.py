@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.catalog.analytics import _CORR, _F, _FIC, _LW, _RANKED, _SP, FACTORS, PART, values, wide
+from tessera.catalog.analytics import _CORR, _F, _FIC, _LW, _RANKED, _SP, FACTORS, PART, dependence, values, wide
 from tessera.catalog.base import SQL, q6, query, r6
 from tessera.catalog.panel import _LEG, _SIGNAL_SQL
 from tessera.operators import causal as C
@@ -18,6 +18,7 @@ from tessera.operators import portfolio as P
 from tessera.operators import retrieval as V
 from tessera.operators.inference import ERFC
 from tessera.plans.formula import canonical, family, mechanism, parse
+from tessera.sources.panels import bars, monthly
 
 _MECH = {f: mechanism(family(parse(x))) for f, x in FACTORS.items()}
 
@@ -96,13 +97,13 @@ def causal_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("contiguous_split", "SELECT 0 AS split, 0 AS train_start, (max(t_idx) + 1) * 7 // 10 AS train_end, (max(t_idx) + 1) * 7 // 10 AS test_start, max(t_idx) + 1 AS test_end FROM (SELECT (row_number() OVER (ORDER BY d) - 1)::INTEGER AS t_idx FROM (SELECT DISTINCT date_trunc('month', l_shipdate) AS d FROM lineitem))")
 def contiguous_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.contiguous_split(spark, wide(spark, sf_dir).agg(F.max("t_idx")).first()[0] + 1)
+    return E.contiguous_split(spark, bars(monthly(spark, sf_dir)).count())
 
 
 @query("rolling_splits", """WITH m AS (SELECT count(DISTINCT date_trunc('month', l_shipdate))::INTEGER AS bars FROM lineitem), k AS (SELECT unnest(range(0, (bars - 48) // 6 + 1))::INTEGER AS split FROM m)
 SELECT split, split * 6 AS train_start, split * 6 + 36 AS train_end, split * 6 + 36 AS test_start, split * 6 + 48 AS test_end FROM k""")
 def rolling_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.rolling_splits(spark, wide(spark, sf_dir).agg(F.max("t_idx")).first()[0] + 1, 36, 12, 6)
+    return E.rolling_splits(spark, bars(monthly(spark, sf_dir)).count(), 36, 12, 6)
 
 
 def _p(z: str) -> str:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import itertools
+import math
 import time
 
+import duckdb
 import numpy as np
 import pytest
 
+from tessera.catalog.base import QUERIES, SQL
 from tessera.operators import library as L
 from tessera.operators import portfolio as P
 from tessera.operators import research as S
 from tessera.operators import retrieval as V
+from tessera.sources.panels import dense
 
 
 def test_comomentum_by_pairs_without_pairs_as_rows(spark):
@@ -113,3 +117,26 @@ def test_close_vectors_by_blocks(spark):
     assert {(r.a, r.b): r.score for r in got.collect()} == want and len(want) >= 90
     # blocks meet, not vectors: no join compares them one by one
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_without_joins_of_grids(spark):
+    rows = [("a", 2, 1.0), ("a", 4, 2.0), ("b", 1, None), ("c", None, 3.0), (None, 3, 4.0), ("d", 1, 5.0), ("d", 2, 6.0), ("d", 4, 7.0), ("d", 3, 8.0)]
+    panel = spark.createDataFrame(rows, "asset_id string, datetime int, v double")
+    want = {(a, i): {(x, y): z for x, y, z in rows}.get((a, t)) if a else None for a in ("a", "b", "c", "d", None) for i, t in enumerate((1, 2, 3, 4))}
+    for unique in (True, False):
+        got = dense(panel, unique=unique)
+        found = got.collect()
+        assert len(found) == 20 and {(r.asset_id, r.t_idx): r.v for r in found} == want and all(r.datetime == r.t_idx + 1 for r in found)
+    # the panel moves by asset; only the calendar is joined, as a broadcast
+    plan = dense(panel, unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(asset_id") == 1
+
+
+@pytest.mark.parametrize("name", ["op_CumMax", "op_CumMin"])
+def test_running_extremes_of_late_assets_equal_sql(spark, tmp_path, name):
+    c = duckdb.connect()
+    li = "/root/testdata/sf0.001/lineitem.parquet"
+    c.sql(f"COPY (SELECT * FROM '{li}' WHERE NOT (l_suppkey % 3 = 0 AND l_shipdate < TIMESTAMP '1996-06-01')) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = sorted((r.asset_id, r.t_idx, r.v) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted(c.sql(SQL[name]).fetchall()) and sum(math.isinf(v) for _, _, v in got) > 50
