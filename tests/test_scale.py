@@ -8,10 +8,15 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.catalog.base import QUERIES, SQL
+from tessera.operators import evidence as E
 from tessera.operators import library as L
+from tessera.operators import metrics as M
+from tessera.operators import models as D
 from tessera.operators import portfolio as P
 from tessera.operators import research as S
 from tessera.operators import retrieval as V
@@ -140,3 +145,31 @@ def test_running_extremes_of_late_assets_equal_sql(spark, tmp_path, name):
     c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     got = sorted((r.asset_id, r.t_idx, r.v) for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert got == sorted(c.sql(SQL[name]).fetchall()) and sum(math.isinf(v) for _, _, v in got) > 50
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_legs_carry_their_columns_and_sort_once(spark, wide):
+    plan = _plan(P.capacity(wide, "f"))
+    assert "Join" not in plan and plan.count("row_number()") >= 1 and plan.count("Sort [") == 1
+    pdf, want = wide.toPandas(), {}
+    for t, b in pdf.dropna(subset=["f"]).groupby("t_idx"):
+        b = b.sort_values(["f", "asset_id"])
+        k = int(min(max(1, len(b) * 0.2 // 1), len(b) // 2))
+        for sign, own in ((-1, b[:k]), (1, b[-k:])):
+            want |= {(t, a, y): sign / k for a, y in zip(own.asset_id, own.target)} if k else {}
+    got = P.leg_weights(wide, "f", 0.2, F.col("target").alias("y")).toPandas()
+    assert {(t, a, y): w for t, a, y, w in zip(got.t_idx, got.asset_id, got.y, got.w)} == want
+    ls = {r.t_idx: r.ls for r in M.legs(wide, "f").collect()}
+    for t, b in pdf.dropna().groupby("t_idx"):
+        b, k = b.sort_values(["f", "asset_id"]), int(min(max(1, len(b) * 0.2 // 1), len(b) // 2))
+        assert ls[t] == pytest.approx(b.target[-k:].mean() - b.target[:k].mean())
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"a{i:02d}", t, None if rng.random() < 0.1 else float(np.round(rng.normal(), 1)), float(rng.normal()), float(rng.normal()), float(rng.uniform(1, 5))) for i in range(25) for t in range(20)]
+    return spark.createDataFrame(rows, "asset_id string, t_idx int, f double, g double, target double, amount double").cache()
