@@ -205,8 +205,8 @@ def research_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.inference import series
 
     w = wide(spark, sf_dir)
-    names, g = L.gram(values(spark, sf_dir))
-    rho = {r.factor: 1 - r.novelty for r in L.novelty(L.dependence(values(spark, sf_dir))).collect()}
+    names, g = L.gram(w, list(FACTORS))
+    rho = {r.factor: 1 - r.novelty for r in L.novelty(dependence(spark, sf_dir)).collect()}
     rows = []
     for f in FACTORS:
         ics = {h: series(M.ic_series(w, f, f"target_{h}"), "ic") for h in ("h1", "h2", "h3")}
@@ -221,9 +221,7 @@ def research_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jump_worth")
 def jump_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = values(spark, sf_dir)
-    t = wide(spark, sf_dir).where("target IS NOT NULL").select(F.lit("target").alias("factor"), "asset_id", "t_idx", F.col("target").alias("v"))
-    names, g = L.gram(v.unionByName(t))
+    names, g = L.gram(wide(spark, sf_dir), [*FACTORS, "target"])
     at = {n: i for i, n in enumerate(names)}
     rows = []
     for f in FACTORS:

@@ -173,3 +173,10 @@ def wide(spark):
     rng = np.random.default_rng(11)
     rows = [(f"a{i:02d}", t, None if rng.random() < 0.1 else float(np.round(rng.normal(), 1)), float(rng.normal()), float(rng.normal()), float(rng.uniform(1, 5))) for i in range(25) for t in range(20)]
     return spark.createDataFrame(rows, "asset_id string, t_idx int, f double, g double, target double, amount double").cache()
+
+
+def test_gram_from_aggregates_alone(spark, wide):
+    pdf = wide.toPandas()[["f", "g", "target"]]
+    z = (pdf - pdf.mean()).fillna(0.0).to_numpy()
+    names, g = L.gram(wide, ["target", "f", "g"])
+    assert names == ["f", "g", "target"] and np.allclose(g, z.T @ z)
