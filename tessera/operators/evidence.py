@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators import causal, inference, library, metrics, portfolio
 from tessera.operators.inference import newey_west, purged_paths
 from tessera.operators.metrics import T, ic_series, ic_stats
+from tessera.sources.store import written
 
 _SPLIT = "split int, train_start int, train_end int, test_start int, test_end int"
 
@@ -46,6 +47,7 @@ def ic_evidence(df: DataFrame, signal: str = "signal", target: str = "target", p
 
 def path_means(series: DataFrame, groups: int = 10, tests: int = 2, horizon: int = 1, embargo: float = 0.01) -> DataFrame:
     """(trial, path, mean): each trial's mean over the test bars of each combinatorial purged path. ``series``: (trial, t_idx, v)."""
+    series = written(series)  # a row a trial and bar: it is made once, not again for its last bar
     bars = (series.agg(F.max(T)).first()[0] or 0) + 1
     paths = purged_paths(series.sparkSession, bars, groups, tests, horizon, embargo).where("role = 'test'").select("path", T)
     return series.where("v IS NOT NULL").join(F.broadcast(paths), T).groupBy("trial", "path").agg(F.avg("v").alias("mean"))

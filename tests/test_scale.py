@@ -180,3 +180,15 @@ def test_gram_from_aggregates_alone(spark, wide):
     z = (pdf - pdf.mean()).fillna(0.0).to_numpy()
     names, g = L.gram(wide, ["target", "f", "g"])
     assert names == ["f", "g", "target"] and np.allclose(g, z.T @ z)
+
+
+def test_paths_make_their_series_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        made.add(1)
+        yield from batches
+
+    base = spark.range(0, 40, numPartitions=1).selectExpr("'x' AS trial", "cast(id AS int) AS t_idx", "cast(id AS double) AS v")
+    E.path_means(base.mapInPandas(count, "trial string, t_idx int, v double")).collect()
+    assert made.value == 1
