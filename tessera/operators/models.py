@@ -10,6 +10,7 @@ from tessera.operators.causal import uniform
 from tessera.operators.library import KEYS
 from tessera.operators.metrics import T, ic_series, ic_stats, legs, performance
 from tessera.operators.research import _square, normal_equations, solve
+from tessera.sources.store import written
 
 
 def _cut(wide: DataFrame, share: float) -> float:
@@ -50,19 +51,20 @@ def ranking(wide: DataFrame, factors: list[str], target: str = "target", loss: s
         rows = rows.select(T, *[(F.lead(f).over(order) - F.col(f)).alias(f) for f in factors]).na.drop()
     else:
         raise ValueError("loss is listnet, bpr or margin")
+    # rounds read the rows from the shared folder; a bar's softmax is a quotient of its sums, so no round moves rows
+    rows = written(rows.select(T, *factors, *(["q"] if loss == "listnet" else [])))
     beta = np.zeros(len(factors))
     for _ in range(rounds):
         score = sum((F.col(f) * float(b) for f, b in zip(factors, beta, strict=True)), F.lit(0.0))
+        per = rows.withColumn("s", score)
         if loss == "listnet":
-            weight = F.col("q") - F.exp("s") / F.sum(F.exp("s")).over(by)
-        elif loss == "bpr":
-            weight = 1 / (1 + F.exp("s"))
+            sums = [e for i, f in enumerate(factors) for e in (F.sum(F.col("q") * F.col(f)).alias(f"a{i}"), F.sum(F.exp("s") * F.col(f)).alias(f"b{i}"))]
+            bars = per.groupBy(T).agg(F.sum(F.exp("s")).alias("z"), *sums)
+            row = bars.agg(*[F.avg(F.col(f"a{i}") - F.col(f"b{i}") / F.col("z")).alias(f"g{i}") for i in range(len(factors))]).first()
         else:
-            weight = (F.col("s") < 1).cast("double")
-        per = rows.withColumn("s", score).withColumn("w", weight)
-        mean = F.count_distinct(T) if loss == "listnet" else F.count(F.lit(1))
-        got = per.agg(*[(F.sum(F.col("w") * F.col(f)) / mean).alias(f) for f in factors]).first()
-        beta = beta + rate * np.array([got[f] or 0.0 for f in factors])
+            weight = 1 / (1 + F.exp("s")) if loss == "bpr" else (F.col("s") < 1).cast("double")
+            row = per.withColumn("w", weight).agg(*[F.avg(F.col("w") * F.col(f)).alias(f"g{i}") for i, f in enumerate(factors)]).first()
+        beta = beta + rate * np.array([row[f"g{i}"] or 0.0 for i in range(len(factors))])
     return beta
 
 

@@ -192,3 +192,22 @@ def test_paths_make_their_series_once(spark, tmp_path):
     base = spark.range(0, 40, numPartitions=1).selectExpr("'x' AS trial", "cast(id AS int) AS t_idx", "cast(id AS double) AS v")
     E.path_means(base.mapInPandas(count, "trial string, t_idx int, v double")).collect()
     assert made.value == 1
+
+
+def test_ranking_rounds_move_no_rows(spark, wide):
+    pdf = wide.dropna().toPandas()
+    z = pdf.groupby("t_idx").target.transform(lambda v: (v - v.mean()) / v.std(ddof=0))
+    q = np.exp(z) / np.exp(z).groupby(pdf.t_idx).transform("sum")
+    beta = np.zeros(2)
+    for _ in range(3):
+        e = np.exp(pdf[["f", "g"]].to_numpy() @ beta)
+        p = e / pd.Series(e, pdf.index).groupby(pdf.t_idx).transform("sum")
+        beta = beta + ((q - p).to_numpy()[:, None] * pdf[["f", "g"]].to_numpy()).sum(0) / pdf.t_idx.nunique()
+    assert np.allclose(D.ranking(wide, ["f", "g"], rounds=3), beta)
+    kept, files = D.written, []
+    try:
+        D.written = lambda df: files.append(1) or kept(df)
+        D.ranking(wide, ["f", "g"], loss="bpr", rounds=2)
+    finally:
+        D.written = kept
+    assert files == [1]
