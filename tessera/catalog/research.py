@@ -26,7 +26,7 @@ _MECH = {f: mechanism(family(parse(x))) for f, x in FACTORS.items()}
 def _ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(factor, t_idx, ic) of the factors."""
     w = wide(spark, sf_dir)
-    v = L.long_form(w, list(FACTORS)).join(w.select("asset_id", "t_idx", "target"), ["asset_id", "t_idx"])
+    v = L.long_form(w, list(FACTORS), "target")
     return M.ic_series(v, "v", "target", keys=("factor",))
 
 

@@ -98,7 +98,7 @@ def research_score(ic_mean: float, ic_std: float, bars: int, redundancy: float,
 
 def attribution(wide: DataFrame, factors: list[str], target: str = "target") -> DataFrame:
     """(factor, ic_mean, icir, ls): IC statistics and the mean long-short return of the top and bottom fifth of each factor."""
-    values = long_form(wide, factors).join(wide.select(*KEYS, target), list(KEYS))
+    values = long_form(wide, factors, target)
     ic = ic_stats(ic_series(values, "v", target, keys=("factor",)), "factor").select("factor", "ic_mean", "icir")
     from pyspark.sql import Window
 

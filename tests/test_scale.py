@@ -211,3 +211,10 @@ def test_ranking_rounds_move_no_rows(spark, wide):
     finally:
         D.written = kept
     assert files == [1]
+
+
+def test_factors_take_their_target_along(spark, wide):
+    got = L.long_form(wide, ["f", "g"], "target")
+    assert "Join" not in _plan(got) and got.columns == ["factor", "asset_id", "t_idx", "v", "target"]
+    joined = L.long_form(wide, ["f", "g"]).join(wide.select("asset_id", "t_idx", "target"), ["asset_id", "t_idx"]).select(*got.columns)
+    assert sorted(got.collect()) == sorted(joined.collect())
