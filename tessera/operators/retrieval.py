@@ -149,7 +149,9 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Rounds are written to the shared folder. Labels only fall, so rounds end.
     """
-    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # the ends of an edge meet before repeats go: a hash table of nearly all edges would be no smaller than they are
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(both.repartition("a").distinct())
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))
     before = None
     while True:
@@ -164,12 +166,17 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, start, hops: int = 2) -> DataFrame:
-    """(node, hop): nodes that are reached from ``start`` in at most ``hops`` steps."""
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], f"node {edges.schema['a'].dataType.simpleString()}, hop int")
+    """(node, hop): nodes that are reached from ``start`` in at most ``hops`` steps.
+
+    Each step takes the edges that touch the nodes found last; the edge table itself is neither doubled nor made distinct.
+    """
+    # a written table has a size, so that few nodes are sent to the edges, which stay where they are
+    seen = written(edges.sparkSession.createDataFrame([(start, 0)], f"node {edges.schema['a'].dataType.simpleString()}, hop int"))
     for h in range(1, hops + 1):
-        found = seen.where(F.col("hop") == h - 1).join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.lit(h).alias("hop")).distinct()
-        seen = seen.unionByName(found).groupBy("node").agg(F.min("hop").alias("hop"))
+        last = seen.where(F.col("hop") == h - 1).select("node")
+        reached = [edges.join(last, F.col(x) == F.col("node")).select(F.col(y).alias("node")) for x, y in (("a", "b"), ("b", "a"))]
+        found = reached[0].unionAll(reached[1]).distinct().withColumn("hop", F.lit(h))
+        seen = written(seen.unionByName(found).groupBy("node").agg(F.min("hop").alias("hop")))
     return seen
 
 

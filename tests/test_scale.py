@@ -218,3 +218,11 @@ def test_factors_take_their_target_along(spark, wide):
     assert "Join" not in _plan(got) and got.columns == ["factor", "asset_id", "t_idx", "v", "target"]
     joined = L.long_form(wide, ["f", "g"]).join(wide.select("asset_id", "t_idx", "target"), ["asset_id", "t_idx"]).select(*got.columns)
     assert sorted(got.collect()) == sorted(joined.collect())
+
+
+def test_neighbours_of_repeated_edges(spark):
+    e = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (4, 3), (5, 6), (2, None)], "a long, b long")
+    got = V.neighbours(e, 1, 3)
+    assert {(r.node, r.hop) for r in got.collect() if r.node is not None} == {(1, 0), (2, 1), (3, 2), (4, 3)}
+    # one step doesn't make the doubled edges distinct
+    assert {(r.node, r.root) for r in V.connected(e.where("b IS NOT NULL")).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)}
