@@ -130,13 +130,17 @@ def fuse(*rankings: DataFrame, k: int = 60) -> DataFrame:
 
 
 def rerank(hits: DataFrame, query: str, text_col: str = "text") -> DataFrame:
-    """``hits`` (id, text, bm25) scored .45 Jaccard + .40 relative BM25 + .15 shared share of the query's tokens, best first."""
+    """``hits`` (id, text, bm25) scored .45 Jaccard + .40 relative BM25 + .15 shared share of the query's tokens, best first.
+
+    Of a text three numbers are written to the shared folder; the greatest score and the sort come from there.
+    """
     q = F.array_distinct(tokens(F.lit(query)))
-    t = F.array_distinct(tokens(F.col(text_col)))
-    shared = F.size(F.array_intersect(q, t))
-    top = hits.agg(F.max("bm25").alias("top"))
-    score = 0.45 * F.coalesce(F.try_divide(shared, F.size(F.array_union(q, t))), F.lit(0.0)) + 0.40 * F.coalesce(F.try_divide(F.col("bm25"), F.col("top")), F.lit(0.0)) + 0.15 * F.coalesce(F.try_divide(shared, F.size(q)), F.lit(0.0))
-    return hits.join(F.broadcast(top)).select("id", score.alias("score")).orderBy(F.desc("score"), "id")
+    counted = hits.withColumn("t", F.array_distinct(tokens(F.col(text_col))))
+    counted = written(counted.select("id", "bm25", F.size(F.array_intersect(q, "t")).alias("shared"), F.size(F.array_union(q, "t")).alias("all"), F.size(q).alias("asked")))
+    top = counted.agg(F.max("bm25").alias("top"))
+    shared = F.col("shared")
+    score = 0.45 * F.coalesce(F.try_divide(shared, F.col("all")), F.lit(0.0)) + 0.40 * F.coalesce(F.try_divide(F.col("bm25"), F.col("top")), F.lit(0.0)) + 0.15 * F.coalesce(F.try_divide(shared, F.col("asked")), F.lit(0.0))
+    return counted.join(F.broadcast(top)).select("id", score.alias("score")).orderBy(F.desc("score"), "id")
 
 
 def pattern_score(success: Column, tried: Column, saturated: Column) -> Column:

@@ -226,3 +226,16 @@ def test_neighbours_of_repeated_edges(spark):
     assert {(r.node, r.hop) for r in got.collect() if r.node is not None} == {(1, 0), (2, 1), (3, 2), (4, 3)}
     # one step doesn't make the doubled edges distinct
     assert {(r.node, r.root) for r in V.connected(e.where("b IS NOT NULL")).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)}
+
+
+def test_rerank_reads_texts_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        made.add(1)
+        yield from batches
+
+    hits = spark.createDataFrame([(1, "the fox", 2.0), (2, "a dog", 1.0), (3, None, 0.5)], "id long, text string, bm25 double").coalesce(1)
+    rows = V.rerank(hits.mapInPandas(count, hits.schema), "the dog").collect()
+    assert made.value == 1 and [r.id for r in rows] == [1, 2, 3]
+    assert [r.score for r in rows] == pytest.approx([0.45 / 3 + 0.4 + 0.075, 0.45 / 3 + 0.2 + 0.075, 0.1])
